@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm import chat, extraction, mixing, repetition, tokens
-from arborspark.llm.common import WORD, materialize, scratch, table
+from arborspark.llm import chat, extraction, mixing, repetition, simhash, tokens
+from arborspark.llm.common import materialize, scratch, table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -22,6 +22,11 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = materialize(mixing.sizes(table(spark, sf_dir, "documents")), "sizes")
     mixed = mixing.mix(sized)
@@ -91,6 +96,7 @@ def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_repetition": op3_repetition,
     "op4_html": op4_html,
+    "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
