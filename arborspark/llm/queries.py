@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm import chat, extraction, mixing, repetition, simhash, tokens
+from arborspark.llm import chat, extraction, mixing, quality, repetition, simhash, tokens
 from arborspark.llm.common import materialize, scratch, table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -14,6 +14,14 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 TOKENIZERS = ("words-1", "byte_bpe_multi_50k")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out(F.col("doc_id")))
+    scored = quality.scores(table(spark, sf_dir, "documents"), labels)
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.CUT_SCORE).cast("int").alias("predicted")
+    )
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
@@ -94,6 +102,7 @@ def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_repetition": op3_repetition,
     "op4_html": op4_html,
     "op7_simhash": op7_simhash,
