@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm import chat, extraction, mixing, quality, repetition, simhash, tokens
+from arborspark.llm import chat, extraction, mixing, pii, quality, repetition, simhash, tokens
 from arborspark.llm.common import materialize, scratch, table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -30,6 +30,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -105,6 +109,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op3_repetition": op3_repetition,
     "op4_html": op4_html,
+    "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
