@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm import chat, extraction, mixing, pii, quality, repetition, simhash, tokens
+from arborspark.llm import chat, decontamination, extraction, mixing, pii, quality, repetition, simhash, tokens
 from arborspark.llm.common import materialize, scratch, table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
@@ -107,6 +111,7 @@ def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_decontamination": op2_decontamination,
     "op3_repetition": op3_repetition,
     "op4_html": op4_html,
     "op6_pii": op6_pii,
