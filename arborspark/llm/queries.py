@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborspark.llm import chat, decontamination, extraction, mixing, pii, quality, repetition, simhash, tokens
+from arborspark.llm import chat, decontamination, extraction, mixing, pii, quality, repetition, simhash, substrings, tokens
 from arborspark.llm.common import materialize, scratch, table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -34,6 +34,10 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(table(spark, sf_dir, "documents"))
 
@@ -114,6 +118,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_repetition": op3_repetition,
     "op4_html": op4_html,
+    "op5_substrings": op5_substrings,
     "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
