@@ -249,97 +249,128 @@ def verify(item: list[bytes], words: list[bytes], first: int, last: int) -> tupl
     return best
 
 
-def _search(docs: DataFrame, block: Block, cosine: float) -> DataFrame:
-    idf, space = latent_space(docs, block)
-    space = space.astype(np.float32)
-    latent = np.stack([space[ids].sum(axis=0) for _, ids in block.passages])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    shared = docs.sparkSession.sparkContext.broadcast((block, space, latent.astype(np.float32), idf > 0))
+class Searcher:
+    """Finds the leaks of one block in lists of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, space, latent, telling = shared.value
+    def __init__(self, block: Block, space: np.ndarray, latent: np.ndarray, telling: np.ndarray, cosine: float):
+        self.block, self.space, self.latent, self.telling, self.cosine = block, space, latent, telling, cosine
         lengths = np.array([len(ids) for _, ids in block.passages])
-        sizes = [(units, own) for units, own in ((SHORT_UNITS, np.flatnonzero(lengths <= SHORT_CHUNK)), (PASSAGE_UNITS, np.flatnonzero(lengths > SHORT_CHUNK))) if len(own)]
-        held: list[tuple[int | None, str, np.ndarray]] = []
+        short = lengths <= SHORT_CHUNK
+        sizes = (SHORT_UNITS, np.flatnonzero(short)), (PASSAGE_UNITS, np.flatnonzero(~short))
+        self.sizes = [(units, own) for units, own in sizes if len(own)]
+
+    def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, bool]]:
+        """(row, item_id, cosine, lcs, answer_found) for every leak, a bounded number of words at a time."""
+        rows: list[int] = []
+        held: list[np.ndarray] = []
         n = 0
+        for r in range(len(texts)):
+            ids = _term_ids(texts[r].as_py(), self.block.terms.get)
+            if len(ids):
+                rows.append(r)
+                held.append(ids)
+                n += len(ids)
+            if held and (n >= BATCH_WORDS or r == len(texts) - 1):
+                for d, spots in sorted(self._candidates(held).items()):
+                    words = bare_words(texts[rows[d]].as_py())
+                    for k, places in sorted(spots.items()):
+                        item_id, item = self.block.items[k]
+                        best = max(verify(item, words, a, b) for a, b in _places(places))
+                        if best[0] >= LCS_SURE or (best[0] >= LCS_ANSWER and best[1]):
+                            yield rows[d], item_id, max(p[0] for p in places), *best
+                rows, held, n = [], [], 0
+
+    def _candidates(self, held: list[np.ndarray]) -> dict[int, dict[int, list[tuple[float, int, int]]]]:
+        """For each document, for each item, the windows (cosine, first word, end) above the limit."""
+        # documents lie one after another in units of words, with empty units between them that no window crosses
+        all_ids, all_units, begins, offset = [], [], [], 0
+        for ids in held:
+            at = np.flatnonzero(ids >= 0)
+            at = at[self.telling[ids[at]]]
+            all_ids.append(ids[at])
+            all_units.append(at // UNIT + offset)
+            begins.append(offset)
+            offset += -(-len(ids) // UNIT) + PASSAGE_UNITS - 1
+        ids, units, firsts = np.concatenate(all_ids), np.concatenate(all_units), np.array(begins)
+        found: dict[int, dict[int, list[tuple[float, int, int]]]] = {}
+        if not len(ids):
+            return found
+        edge = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
+        sums = np.zeros((offset + PASSAGE_UNITS, self.space.shape[1]), np.float32)
+        sums[units[edge]] = np.add.reduceat(self.space[ids], edge, axis=0)
+        for wide, own in self.sizes:
+            window = sums[:offset].copy()
+            for k in range(1, wide):
+                window += sums[k : offset + k]
+            norm = np.linalg.norm(window, axis=1)
+            live = np.flatnonzero(norm > 1e-6)
+            near = window[live] @ self.latent[own].T
+            near /= norm[live, None]
+            for i, j in zip(*np.nonzero(near >= self.cosine)):
+                unit = int(live[i])
+                d = int(np.searchsorted(firsts, unit, side="right")) - 1
+                at = (unit - begins[d]) * UNIT
+                item = self.block.passages[own[j]][0]
+                found.setdefault(d, {}).setdefault(item, []).append((float(near[i, j]), at, at + wide * UNIT))
+        return found
+
+
+def _places(windows: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """Overlapping windows are one place."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(windows, key=lambda w: w[1]):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
-        def flush() -> Iterator[tuple]:
-            # documents lie one after another in units of words, with empty units between them that no window crosses
-            all_ids, all_units, begins, offset = [], [], [], 0
-            for _, _, ids in held:
-                at = np.flatnonzero(ids >= 0)
-                at = at[telling[ids[at]]]
-                all_ids.append(ids[at])
-                all_units.append(at // UNIT + offset)
-                begins.append(offset)
-                offset += -(-len(ids) // UNIT) + PASSAGE_UNITS - 1
-            ids, units = np.concatenate(all_ids), np.concatenate(all_units)
-            if not len(ids):
-                return
-            edge = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
-            sums = np.zeros((offset + PASSAGE_UNITS, space.shape[1]), np.float32)
-            sums[units[edge]] = np.add.reduceat(space[ids], edge, axis=0)
-            begins = np.array(begins)
-            found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-            for wide, own in sizes:
-                window = sums[:offset].copy()
-                for k in range(1, wide):
-                    window += sums[k : offset + k]
-                norm = np.linalg.norm(window, axis=1)
-                live = np.flatnonzero(norm > 1e-6)
-                near = window[live] @ latent[own].T
-                near /= norm[live, None]
-                for i, j in zip(*np.nonzero(near >= cosine)):
-                    unit = live[i]
-                    d = int(np.searchsorted(begins, unit, side="right")) - 1
-                    key = d, block.passages[own[j]][0]
-                    at = int(unit - begins[d]) * UNIT
-                    found.setdefault(key, []).append((float(near[i, j]), at, at + wide * UNIT))
-            words_of: dict[int, list[bytes]] = {}
-            for (d, k), spots in sorted(found.items()):
-                doc_id, text, _ = held[d]
-                words = words_of.setdefault(d, bare_words(text))
-                item_id, item = block.items[k]
-                best = (0.0, False)
-                spots.sort(key=lambda s: s[1])
-                merged = [list(spots[0][1:])]
-                for _, a, b in spots[1:]:  # overlapping windows are one place
-                    if a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                for a, b in merged:
-                    best = max(best, verify(item, words, a, b))
-                if best[0] >= LCS_SURE or (best[0] >= LCS_ANSWER and best[1]):
-                    yield doc_id, item_id, max(s[0] for s in spots), *best
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
-            names = ["doc_id", "item_id", "cosine", "lcs", "answer_found"]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-        for batch in batches:
-            for r in range(batch.num_rows):
-                text = batch.column(1)[r].as_py()
-                if not text:
-                    continue
-                held.append((batch.column(0)[r].as_py(), text, _term_ids(text, block.terms.get)))
-                n += len(held[-1][2])
-                if n >= BATCH_WORDS:
-                    if rows := list(flush()):
-                        yield out(rows)
-                    held, n = [], 0
-        if held and (rows := list(flush())):
-            yield out(rows)
-
-    return docs.select("doc_id", "text").mapInArrow(run, LEAKS)
+
+def _searcher(docs: DataFrame, block: Block, cosine: float):
+    """A broadcast Searcher, fitted on all of ``docs``; its size depends on the block alone."""
+    idf, space = latent_space(docs, block)
+    space = space.astype(np.float32)
+    latent = np.stack([space[ids].sum(axis=0) for _, ids in block.passages])
+    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    return docs.sparkSession.sparkContext.broadcast(Searcher(block, space, latent, idf > 0, cosine))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block_passages: int = BLOCK_PASSAGES) -> DataFrame:
     """One row per document and benchmark item that the document leaks: doc_id, item_id, cosine, lcs, answer_found."""
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+    names = ["doc_id", "item_id", "cosine", "lcs", "answer_found"]
     out = None
     for block in blocks_of(benchmark, block_passages):
-        if block.items:
-            found = _search(docs, block, cosine)
-            out = found if out is None else out.unionByName(found)
+        if not block.items:
+            continue
+        shared = _searcher(docs, block, cosine)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if found := list(shared.value.leaks(batch.column(1))):
+                    row, *rest = (list(c) for c in zip(*found))
+                    columns = [batch.column(0).take(pa.array(row)), *rest]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+        found = docs.select("doc_id", "text").mapInArrow(run, LEAKS)
+        out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block_passages: int = BLOCK_PASSAGES) -> DataFrame:
+    """The rows of ``docs`` that leak no item, with their columns; texts are not shuffled."""
+    at = docs.columns.index("text")
+    fitted_on = docs
+    for block in blocks_of(benchmark, block_passages):
+        if not block.items:
+            continue
+        shared = _searcher(fitted_on, block, cosine)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[leak[0] for leak in shared.value.leaks(batch.column(at))]] = False
+                yield batch.filter(pa.array(stays))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -222,6 +222,14 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return fps.join(classes, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each component, with its columns; a repeated doc_id stays once. Rows
+    without a doc_id cannot be told apart by one and stay."""
+    first = near_duplicates(docs, hot).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def hex_fingerprint(fp="fp"):
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
