@@ -82,22 +82,19 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _changes(spark: SparkSession, sf_dir: str):
-    """The load of all documents, then a takedown and a clean-up from the labels."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+def _rolled(spark: SparkSession, sf_dir: str, versions) -> DataFrame:
+    """The load of all documents, then from the labels a takedown and a clean-up, then a retry of the takedown."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.regexp_replace("text", r"[#*$%&|<>]+", "").alias("clean"))
+    counts = materialize(tokens.count_tokens(docs, versions, ["text", "clean"]), "token-counts")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    marked = docs.join(labels.filter("toxic = 1 OR quality = 0"), "doc_id")
-    load = docs.select(F.lit("insert").alias("op"), "source", "lang", "text")
-    takedown = marked.filter("toxic = 1").select(F.lit("delete").alias("op"), "source", "lang", F.col("text").alias("old_text"))
-    revised = marked.filter("toxic <> 1 AND quality = 0").select(
-        F.lit("revise").alias("op"), "source", "lang", F.regexp_replace("text", r"[#*$%&|<>]+", "").alias("text"), F.col("text").alias("old_text")
+    marked = counts.join(labels.filter("toxic = 1 OR quality = 0"), "doc_id")
+    keys = ["source", "lang", "tokenizer"]
+    load = counts.select(F.lit("insert").alias("op"), *keys, F.col("text_tokens").alias("n_tokens"))
+    takedown = marked.filter("toxic = 1").select(F.lit("delete").alias("op"), *keys, F.col("text_tokens").alias("old_tokens"))
+    revised = marked.filter("NOT toxic <=> 1 AND quality = 0").select(
+        F.lit("revise").alias("op"), *keys, F.col("clean_tokens").alias("n_tokens"), F.col("text_tokens").alias("old_tokens")
     )
-    return load, takedown, revised
-
-
-def _rolled(spark: SparkSession, sf_dir: str, versions) -> DataFrame:
-    rollup = tokens.Rollup(spark, scratch(spark, "token-rollup"), versions)
-    load, takedown, revised = _changes(spark, sf_dir)
+    rollup = tokens.Rollup(spark, scratch(spark, "token-rollup"))
     rollup.commit("load", load)
     rollup.commit("takedown", takedown)
     rollup.commit("clean-up", revised)

@@ -1,12 +1,13 @@
 """Token counts as delta-maintained rollups.
 
-A change is an insert (text), a delete (old_text, the image before) or a revision (both). It contributes signed
-counts: + for the text after, - for the text before, per source, language and tokenizer version. A batch of changes
-is summed to one small delta per key and written once under its batch id; totals are the sum of all committed deltas.
+Texts are tokenized once, in ``count_tokens``. A change is an insert (n_tokens), a delete (old_tokens, the count before) or a
+revision (both), for one tokenizer version. It contributes signed counts, + for the state after and - for the state before, per
+source, language and tokenizer version, so batches carry counts and no texts. A batch of changes is summed to one
+small delta per key and written once under its batch id; totals are the sum of all committed deltas.
 Committing a batch id again changes nothing, so a batch may be retried at will: the delta is written to an attempt
 folder first and becomes visible by one rename. ``compact`` folds committed batches into one base, which remembers their ids.
 
-Defined results: null texts count no tokens but a document; null source or lang is a key of its own; repeated rows
+Defined results: null texts and null counts are no tokens but a document; null source or lang is a key of its own; repeated rows
 count each; empty batches commit an empty delta; unknown operations raise; extra columns are ignored. A revision that moves
 a document to another source or language passes old_source and old_lang (default: unchanged).
 """
@@ -15,15 +16,13 @@ from __future__ import annotations
 
 import base64
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborspark.llm.common import utf8
+from arborspark.llm.common import arrow_rows, utf8
 
 VOCAB_DIR = "/opt/tokenizers"
 #: How the rank files' tokenizers cut text before merging (fixed value).
@@ -39,8 +38,6 @@ DELTA = T.StructType(
         T.StructField("n_tokens", T.LongType()),
     ]
 )
-CHANGES = ("op", "source", "lang", "old_source", "old_lang", "text", "old_text")
-
 _loaded: dict[tuple[str, str], Callable[[str], int]] = {}
 
 
@@ -62,46 +59,52 @@ def counter(version: str, vocab_dir: str = VOCAB_DIR) -> Callable[[str], int]:
     return _loaded[key]
 
 
-def deltas(changes: DataFrame, tokenizers: Sequence[str], vocab_dir: str = VOCAB_DIR) -> DataFrame:
-    """Signed totals per key. Tasks sum what they read before the shuffle, so a hot key sends one row per task."""
-    have = {c.lower() for c in changes.columns}
-    cols = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in CHANGES]
-    arrow = pa.schema([("source", pa.string()), ("lang", pa.string()), ("tokenizer", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    moved = "old_source" in have, "old_lang" in have
+def count_tokens(docs: DataFrame, tokenizers: Sequence[str], columns: Sequence[str] = ("text",), vocab_dir: str = VOCAB_DIR) -> DataFrame:
+    """doc_id, source, lang, tokenizer and for each text column its tokens (``text_tokens``), for every row and tokenizer."""
+    schema = T.StructType(
+        [T.StructField("doc_id", T.LongType()), *DELTA.fields[:3], *(T.StructField(f"{c}_tokens", T.LongType()) for c in columns)]
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         count = {v: counter(v, vocab_dir) for v in tokenizers}
-        sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
 
-        def add(sign: int, source, lang, text) -> None:
+        def each(row: dict) -> Iterator[tuple]:
+            texts = [row[c] or "" for c in columns]
             for version, n in count.items():
-                total = sums[source, lang, version]
-                total[0] += sign
-                total[1] += sign * (n(text) if text else 0)
-
-        for batch in batches:
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            for r in range(batch.num_rows):
-                op, source, lang, old_source, old_lang, text, old_text = (c[r].as_py() for c in columns)
-                if op not in ("insert", "delete", "revise"):
-                    raise ValueError(f"unknown operation {op!r}")
-                if op != "delete":
-                    add(1, source, lang, text)
-                if op != "insert":
-                    add(-1, old_source if moved[0] else source, old_lang if moved[1] else lang, old_text)
-        if sums:
-            rows = [(*k, *v) for k, v in sums.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-
-    parts = changes.select(*cols).mapInArrow(run, DELTA)
-    return parts.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+                first = n(texts[0])
+                yield row["doc_id"], row["source"], row["lang"], version, first, *(first if t == texts[0] else n(t) for t in texts[1:])
+
+        return each
+
+    return arrow_rows(docs.select("doc_id", "source", "lang", *columns), schema, make)
+
+
+def deltas(changes: DataFrame) -> DataFrame:
+    """Signed totals per key from op, source, lang, tokenizer, n_tokens, old_tokens and, if they are there, old_source and old_lang.
+    Tasks sum what they read before the shuffle, so a hot key sends one row per task."""
+    have = {c.lower() for c in changes.columns}
+    known = F.col("op").isin("insert", "delete", "revise")
+    op = F.when(known, F.col("op")).otherwise(F.raise_error(F.concat(F.lit("unknown operation "), F.coalesce(F.col("op"), F.lit("null")))))
+
+    def side(sign: int, prefix: str) -> Column:
+        keys = [F.col(f"{prefix}{k}" if f"{prefix}{k}" in have else k).alias(k) for k in ("source", "lang")]
+        n = F.coalesce(F.col(f"{prefix}tokens" if prefix else "n_tokens"), F.lit(0)) if (prefix or "n_") + "tokens" in have else F.lit(0)
+        return F.struct(*keys, F.col("tokenizer"), F.lit(sign).cast("long").alias("n_docs"), (n * sign).cast("long").alias("n_tokens"))
+
+    after, before = side(1, ""), side(-1, "old_")
+    sides = F.when(op == "insert", F.array(after)).when(op == "delete", F.array(before)).otherwise(F.array(after, before))
+    return (
+        changes.select(F.inline(sides))
+        .groupBy(*KEYS)
+        .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    )
 
 
 class Rollup:
     """Totals in a folder of a shared file system: ``base-<n>`` (compacted) and ``batch=<id>`` (committed deltas)."""
 
-    def __init__(self, spark: SparkSession, path: str, tokenizers: Sequence[str], vocab_dir: str = VOCAB_DIR):
-        self.spark, self.path, self.tokenizers, self.vocab_dir = spark, path.rstrip("/"), tuple(tokenizers), vocab_dir
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -129,7 +132,7 @@ class Rollup:
         if batch in self.committed():
             return False
         attempt = f"{self.path}/.attempt-{batch}"
-        deltas(changes, self.tokenizers, self.vocab_dir).coalesce(1).write.mode("overwrite").parquet(attempt)
+        deltas(changes).coalesce(1).write.mode("overwrite").parquet(attempt)
         # rename does not replace an existing folder; a concurrent commit of the same batch therefore wins once
         if self._fs.exists(self._Path(f"{self.path}/batch={batch}")) or not self._fs.rename(
             self._Path(attempt), self._Path(f"{self.path}/batch={batch}")
