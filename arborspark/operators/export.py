@@ -110,8 +110,8 @@ def top_users(owned_nodes: DataFrame, k: int = 5) -> DataFrame:
 def dominant(owned_nodes: DataFrame) -> DataFrame:
     """path, team, share of the team that holds most of a node; the first name wins ties."""
     sums = owned_nodes.groupBy("path", "team").agg(F.sum("bytes").alias("bytes"))
-    best = sums.groupBy("path").agg(F.max_by(F.struct("team", "bytes"), F.struct("bytes", F.expr("-hash(team)"))).alias("w"), F.sum("bytes").alias("total"), F.max("bytes").alias("most"))
-    tie = sums.join(best.select("path", "total", "most"), "path").filter("bytes = most").groupBy("path").agg(F.min("team").alias("team"), F.max("most").alias("bytes"), F.max("total").alias("total"))
+    most = sums.groupBy("path").agg(F.sum("bytes").alias("total"), F.max("bytes").alias("most"))
+    tie = sums.join(most, "path").filter("bytes = most").groupBy("path").agg(F.min("team").alias("team"), F.max("most").alias("bytes"), F.max("total").alias("total"))
     return tie.select("path", "team", "bytes", F.when(F.col("total") != 0, F.col("bytes").cast("double") / F.col("total")).alias("share"))
 
 
