@@ -51,6 +51,9 @@ NAMES = re.compile(
     r"|hidden|skip-?link|contentinfo|complementary|navigation|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Class words that say what a page has, not what an element is, and names that an article element itself may be left out for (fixed values).
+STATES = re.compile(r"\b(?:has|with|without|no|js|is)[-_][\w-]+")
+NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|ads?|advert\w*|sponsor\w*|promo\w*|related|recommended|teaser)(?:$|[\s_-])", re.IGNORECASE)
 #: Common words of the languages at hand (fixed values).
 STOP = frozenset(
     "the of and to in is that for it with as was on be by this are or from at not have an he she they which you we his her"
@@ -73,11 +76,11 @@ class Block:
         self.label: bool | None = None
 
 
-def boilerplate_name(attrs: str) -> bool:
+def boilerplate_name(attrs: str, names: re.Pattern = NAMES) -> bool:
     for name, *values in ATTR.findall(attrs):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id", "role"):
-            if NAMES.search(value):
+            if names.search(STATES.sub("", value)):
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
@@ -149,8 +152,11 @@ def blocks_of(page: str) -> list[Block]:
             end_block()
             n_containers += 1
             container = n_containers
-            around = around or not (tag in ARTICLE and not boilerplate_name(attrs)) and not (tag == "header" and article)
-            article = article or tag in ARTICLE
+            if tag in ARTICLE:
+                around = around or boilerplate_name(attrs, NOT_ARTICLE)
+                article = True
+            else:
+                around = around or not (tag == "header" and article)
             stack.append((tag, around, article, container))
         elif tag in BLOCK and tag != "p" and tag != "li":
             stack.append((tag, around, article, container))

@@ -170,6 +170,11 @@ def test_repetition_odd_texts(spark):
         ("<body><div id=cookie-notice>We use cookies</div><div><p>The old house of the king is in the town and it is the best.</p><p>Short.</p></div>", "The old house of the king is in the town and it is the best.\n\nShort."),
         ("<article><p>Cut <script>var a='</p>'", "Cut"),
         ("<article><p>x</p><form><input><button>Go</button></form><p>y<!-- no", "x\n\ny"),
+        (
+            '<body class="has-sidebar"><div class="wrap with-sidebar"><main class="content sidebar-left"><article class="post"><header><h1>T</h1></header><p>Body.</p>'
+            '</article></main><div class="related"><article class="teaser"><p>Other.</p></article></div></div>',
+            "T\n\nBody.",
+        ),
         ("<article><p>Text <a href=a>with a link</a> in the middle of the line.</p></article", "Text with a link in the middle of the line."),
     ],
 )
