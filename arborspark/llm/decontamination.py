@@ -1,18 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Words of the benchmark are the terms; a pass over all documents counts in how many passages each occurs (idf).
-2. A second pass multiplies the TF-IDF matrix A of all passages with a random matrix: Z = A^T (A R), summed in two levels. The
+1. Words of the benchmark are the terms. One pass writes every document's term numbers in the shared folder, so texts are cut into
+   words once; all further passes read numbers. The first of them counts in how many passages each term occurs (idf).
+2. The next multiplies the TF-IDF matrix A of all passages with a random matrix: Z = A^T (A R), summed in two levels. The
    benchmark's own passages are rows of A too, with a weight that makes the retained directions span them; else rare words,
    on which a leak shows, would fall out of the truncated space. A single-pass Nystrom step turns Z and R into singular
    vectors.
-3. A third pass projects every window of every document and compares it with every benchmark passage by cosine (the benchmark
-   is a stated query set, in blocks). Windows above ``COSINE`` are candidates.
+3. The last compares every window of every document with every benchmark passage in that space (the benchmark is a stated query
+   set, in blocks). A window's product with a passage is a sum over its terms, so it comes from one table of terms by passages;
+   windows that hold ``MASS`` of a passage's own product get their cosine, and those above ``COSINE`` are candidates.
 4. Candidates are checked on the words themselves: longest common subsequence against stretches of 1.5 times the item's length,
    and whether the item's answer (its last words) stands there. A leak has an LCS share of ``LCS_SURE``, or of ``LCS_ANSWER``
    with the answer.
 
 The benchmark is read in blocks of ``BLOCK_PASSAGES`` passages, whose terms and vectors have a bounded size, so what is sent to
-executors doesn't grow with either table. Each block costs three passes over the documents.
+executors doesn't grow with either table. Each block costs one pass over the documents' texts.
 
 Defined results: null and empty texts, and texts without a term, are clean; an item without words matches nothing; repeated items
 and repeated documents are each reported; without a benchmark nothing is; a leak at a text's edge or cut by few words is found;
@@ -28,6 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from arborspark.llm.common import materialize
 
 #: Words in a block of a document, and blocks in a passage of the matrix and in the two window sizes.
 UNIT, PASSAGE_UNITS, SHORT_UNITS = 16, 4, 2
@@ -36,10 +41,14 @@ CHUNK, SHORT_CHUNK = PASSAGE_UNITS * UNIT - UNIT + 1, SHORT_UNITS * UNIT - UNIT
 #: Benchmark passages in a block; directions kept beyond their number; oversampling.
 BLOCK_PASSAGES, EXTRA_RANK, OVERSAMPLE, SEED = 256, 16, 16, 11
 #: Terms in more than this share of the passages are left out, unless an item would keep fewer than MIN_TERMS.
-MAX_DF, MIN_TERMS = 0.1, 5
+MAX_DF, MIN_TERMS = 0.03, 5
+#: Share of a passage's own product that a window must hold before its cosine is taken.
+MASS = 0.4
 COSINE, LCS_SURE, LCS_ANSWER, ANSWER_WORDS = 0.55, 0.8, 0.6, 5
 #: Words that one batch of documents gathers before the matrix product.
 BATCH_WORDS = 60_000
+#: How term numbers are packed.
+NUMBER = np.dtype("<i4")
 
 LEAKS = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean"
 _BARE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -89,37 +98,51 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_PASSAGES) -> Iterator[Bloc
         yield Block(held)
 
 
-def _term_ids(text: str | None, get) -> np.ndarray:
-    return np.array([get(w, -1) for w in bare_words(text)], np.int32)
+def with_terms(docs: DataFrame, block: Block) -> tuple[DataFrame, str]:
+    """``docs`` with one more column of packed term numbers (-1 for other words), written once, and the column's name."""
+    name = "_terms"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    shared = docs.sparkSession.sparkContext.broadcast(block.terms)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+        for batch in batches:
+            texts = batch.column(at)
+            packed = [np.array([get(w, -1) for w in bare_words(texts[r].as_py())], NUMBER).tobytes() for r in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+    return materialize(docs.mapInArrow(run, schema), "terms"), name
 
 
-def _over(batches: Iterator[pa.RecordBatch], column: str, get) -> Iterator[np.ndarray]:
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for batch in batches:
-        values = batch.column(batch.schema.get_field_index(column))
+        values = batch.column(0)
         for r in range(batch.num_rows):
-            yield _term_ids(values[r].as_py(), get)
+            yield np.frombuffer(values[r].as_py(), NUMBER)
 
 
-def document_frequencies(docs: DataFrame, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
+def document_frequencies(numbered: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     """In how many passages of all documents each term occurs, and how many passages there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
     width = PASSAGE_UNITS * UNIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
-        df, n = np.zeros(len(terms), np.int64), 0
-        for ids in _over(batches, "text", terms.get):
+        df, n = np.zeros(n_terms, np.int64), 0
+        for ids in _numbers(batches):
             n += -(-len(ids) // width)
             at = np.flatnonzero(ids >= 0)
             if len(at):
-                df += np.bincount(np.unique((at // width) * len(terms) + ids[at]) % len(terms), minlength=len(terms))
+                own = np.unique((at // width) * n_terms + ids[at]) % n_terms
+                df += np.bincount(own, minlength=n_terms)
         own = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(([-1], own))), pa.array(np.concatenate(([n], df[own])))], names=["term", "n"]
         )
 
-    rows = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out, total = np.zeros(len(terms), np.int64), 0
+    rows = numbered.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out, total = np.zeros(n_terms, np.int64), 0
     for r in rows:
         if r.term < 0:
             total = r.n
@@ -138,16 +161,16 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "data"])
 
 
-def sample_range(docs: DataFrame, terms: dict[bytes, int], idf: np.ndarray, random: np.ndarray) -> np.ndarray:
+def sample_range(numbered: DataFrame, idf: np.ndarray, random: np.ndarray) -> np.ndarray:
     """Z = A^T (A R) over the passages of all documents, A with rows of length one. Tasks send one matrix each; eight tasks sum
     those and one sums the eight."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, idf.astype(np.float32), random.astype(np.float32)))
+    shared = numbered.sparkSession.sparkContext.broadcast((idf.astype(np.float32), random.astype(np.float32)))
     width = PASSAGE_UNITS * UNIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        terms, idf, random = shared.value
+        idf, random = shared.value
         weighted = random * idf[:, None]
         z = np.zeros_like(random)
         held: list[np.ndarray] = []
@@ -173,7 +196,7 @@ def sample_range(docs: DataFrame, terms: dict[bytes, int], idf: np.ndarray, rand
             own = ids[order[first]]
             z[own] += idf[own, None] * np.add.reduceat(y[place[order]], first, axis=0)
 
-        for ids in _over(batches, "text", terms.get):
+        for ids in _numbers(batches):
             held.append(ids)
             n += len(ids)
             if n >= BATCH_WORDS:
@@ -186,7 +209,7 @@ def sample_range(docs: DataFrame, terms: dict[bytes, int], idf: np.ndarray, rand
         )
 
     schema = "part int, data binary"
-    parts = docs.select("text").mapInArrow(run, schema)
+    parts = numbered.mapInArrow(run, schema)
     row = parts.repartition(8, "part").mapInArrow(_sum_parts, schema).coalesce(1).mapInArrow(_sum_parts, schema).first()
     return np.frombuffer(row.data, np.float32).reshape(random.shape).astype(np.float64) if row else np.zeros_like(random)
 
@@ -202,13 +225,13 @@ def singular_vectors(z: np.ndarray, random: np.ndarray, rank: int) -> np.ndarray
     return u[:, :rank]
 
 
-def latent_space(docs: DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(numbered: DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """idf of the block's terms, and idf times the singular vectors (terms x rank)."""
-    df, n = document_frequencies(docs, block.terms)
+    df, n = document_frequencies(numbered, len(block.terms))
     idf = block.weights(df, n)
     rank = min(len(block.terms), len(block.passages) + EXTRA_RANK)
     random = np.random.default_rng(SEED).standard_normal((len(block.terms), min(len(block.terms), rank + OVERSAMPLE)))
-    z = sample_range(docs, block.terms, idf, random)
+    z = sample_range(numbered, idf, random)
     for _, ids in block.passages:  # the benchmark's rows, each with the weight of all passages
         own, tf = np.unique(ids, return_counts=True)
         row = tf * idf[own]
@@ -250,22 +273,25 @@ def verify(item: list[bytes], words: list[bytes], first: int, last: int) -> tupl
 
 
 class Searcher:
-    """Finds the leaks of one block in lists of texts."""
+    """Finds the leaks of one block in documents whose terms are numbered."""
 
-    def __init__(self, block: Block, space: np.ndarray, latent: np.ndarray, telling: np.ndarray, cosine: float):
-        self.block, self.space, self.latent, self.telling, self.cosine = block, space, latent, telling, cosine
+    def __init__(self, block: Block, space: np.ndarray, telling: np.ndarray, cosine: float):
+        self.block, self.space, self.telling, self.cosine = block, space.astype(np.float32), telling, cosine
+        latent = np.stack([self.space[ids].sum(axis=0) for _, ids in block.passages])
+        self.own = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+        self.products = self.space @ (latent / self.own[:, None]).T
         lengths = np.array([len(ids) for _, ids in block.passages])
         short = lengths <= SHORT_CHUNK
         sizes = (SHORT_UNITS, np.flatnonzero(short)), (PASSAGE_UNITS, np.flatnonzero(~short))
         self.sizes = [(units, own) for units, own in sizes if len(own)]
 
-    def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, bool]]:
+    def leaks(self, texts: pa.Array, numbers: pa.Array) -> Iterator[tuple[int, int, float, float, bool]]:
         """(row, item_id, cosine, lcs, answer_found) for every leak, a bounded number of words at a time."""
         rows: list[int] = []
         held: list[np.ndarray] = []
         n = 0
         for r in range(len(texts)):
-            ids = _term_ids(texts[r].as_py(), self.block.terms.get)
+            ids = np.frombuffer(numbers[r].as_py(), NUMBER)
             if len(ids):
                 rows.append(r)
                 held.append(ids)
@@ -281,37 +307,37 @@ class Searcher:
                 rows, held, n = [], [], 0
 
     def _candidates(self, held: list[np.ndarray]) -> dict[int, dict[int, list[tuple[float, int, int]]]]:
-        """For each document, for each item, the windows (cosine, first word, end) above the limit."""
+        """For each document, for each item, the windows (cosine, first word, end) above the limits."""
         # documents lie one after another in units of words, with empty units between them that no window crosses
-        all_ids, all_units, begins, offset = [], [], [], 0
-        for ids in held:
-            at = np.flatnonzero(ids >= 0)
-            at = at[self.telling[ids[at]]]
-            all_ids.append(ids[at])
-            all_units.append(at // UNIT + offset)
-            begins.append(offset)
-            offset += -(-len(ids) // UNIT) + PASSAGE_UNITS - 1
-        ids, units, firsts = np.concatenate(all_ids), np.concatenate(all_units), np.array(begins)
+        n_units = np.array([-(-len(ids) // UNIT) + PASSAGE_UNITS - 1 for ids in held])
+        firsts = np.concatenate(([0], np.cumsum(n_units)))
+        every = np.concatenate(held)
+        begins = np.concatenate(([0], np.cumsum([len(ids) for ids in held])))
+        at = np.flatnonzero(every >= 0)
+        at = at[self.telling[every[at]]]
+        ids = every[at]
         found: dict[int, dict[int, list[tuple[float, int, int]]]] = {}
         if not len(ids):
             return found
+        of = np.searchsorted(begins, at, side="right") - 1
+        units = (at - begins[of]) // UNIT + firsts[of]
         edge = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
-        sums = np.zeros((offset + PASSAGE_UNITS, self.space.shape[1]), np.float32)
-        sums[units[edge]] = np.add.reduceat(self.space[ids], edge, axis=0)
+        sums = np.zeros((firsts[-1] + PASSAGE_UNITS, self.products.shape[1]), np.float32)
+        sums[units[edge]] = np.add.reduceat(self.products[ids], edge, axis=0)
         for wide, own in self.sizes:
-            window = sums[:offset].copy()
+            part = sums if len(self.sizes) == 1 else sums[:, own]
+            window = part[: firsts[-1]].copy()
             for k in range(1, wide):
-                window += sums[k : offset + k]
-            norm = np.linalg.norm(window, axis=1)
-            live = np.flatnonzero(norm > 1e-6)
-            near = window[live] @ self.latent[own].T
-            near /= norm[live, None]
-            for i, j in zip(*np.nonzero(near >= self.cosine)):
-                unit = int(live[i])
-                d = int(np.searchsorted(firsts, unit, side="right")) - 1
-                at = (unit - begins[d]) * UNIT
-                item = self.block.passages[own[j]][0]
-                found.setdefault(d, {}).setdefault(item, []).append((float(near[i, j]), at, at + wide * UNIT))
+                window += part[k : firsts[-1] + k]
+            for i, j in zip(*np.nonzero(window >= MASS * self.own[own])):
+                a, b = np.searchsorted(units, (i, i + wide))
+                norm = float(np.linalg.norm(self.space[ids[a:b]].sum(axis=0)))
+                cosine = float(window[i, j]) / max(norm, 1e-9)
+                if cosine >= self.cosine:
+                    d = int(np.searchsorted(firsts, i, side="right")) - 1
+                    word = int(i - firsts[d]) * UNIT
+                    item = self.block.passages[own[j]][0]
+                    found.setdefault(d, {}).setdefault(item, []).append((cosine, word, word + wide * UNIT))
         return found
 
 
@@ -326,13 +352,10 @@ def _places(windows: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searcher(docs: DataFrame, block: Block, cosine: float):
-    """A broadcast Searcher, fitted on all of ``docs``; its size depends on the block alone."""
-    idf, space = latent_space(docs, block)
-    space = space.astype(np.float32)
-    latent = np.stack([space[ids].sum(axis=0) for _, ids in block.passages])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return docs.sparkSession.sparkContext.broadcast(Searcher(block, space, latent, idf > 0, cosine))
+def _searcher(numbered: DataFrame, block: Block, cosine: float):
+    """A broadcast Searcher, fitted on all documents; its size depends on the block alone."""
+    idf, space = latent_space(numbered, block)
+    return numbered.sparkSession.sparkContext.broadcast(Searcher(block, space, idf > 0, cosine))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block_passages: int = BLOCK_PASSAGES) -> DataFrame:
@@ -343,16 +366,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block_p
     for block in blocks_of(benchmark, block_passages):
         if not block.items:
             continue
-        shared = _searcher(docs, block, cosine)
+        rows, name = with_terms(docs.select("doc_id", "text"), block)
+        shared = _searcher(rows.select(name), block, cosine)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if found := list(shared.value.leaks(batch.column(1))):
+                if found := list(shared.value.leaks(batch.column(1), batch.column(2))):
                     row, *rest = (list(c) for c in zip(*found))
                     columns = [batch.column(0).take(pa.array(row)), *rest]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-        found = docs.select("doc_id", "text").mapInArrow(run, LEAKS)
+        found = rows.select("doc_id", "text", name).mapInArrow(run, LEAKS)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)
 
@@ -360,17 +384,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block_p
 def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block_passages: int = BLOCK_PASSAGES) -> DataFrame:
     """The rows of ``docs`` that leak no item, with their columns; texts are not shuffled."""
     at = docs.columns.index("text")
-    fitted_on = docs
     for block in blocks_of(benchmark, block_passages):
         if not block.items:
             continue
-        shared = _searcher(fitted_on, block, cosine)
+        rows, name = with_terms(docs, block)
+        shared = _searcher(rows.select(name), block, cosine)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                last = batch.num_columns - 1
                 stays = np.ones(batch.num_rows, bool)
-                stays[[leak[0] for leak in shared.value.leaks(batch.column(at))]] = False
-                yield batch.filter(pa.array(stays))
+                stays[[leak[0] for leak in shared.value.leaks(batch.column(at), batch.column(last))]] = False
+                yield batch.filter(pa.array(stays)).select(range(last))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = rows.mapInArrow(run, docs.schema)
     return docs
