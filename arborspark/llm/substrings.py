@@ -226,12 +226,11 @@ def remove(flagged: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, hot_prefix: int = HOT_PREFIX) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs``."""
     stats = materialize(statistics(docs), "substring-stats")
-    reps = stats.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    firsts = (
-        stats.filter(F.col("n_words") >= WINDOW)
-        .join(reps.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-        .dropDuplicates(["doc_id", "short"])
+    copies = materialize(
+        stats.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "copies"
     )
+    known = stats.join(copies, "digest", "left")
+    firsts = known.filter((F.col("n_words") >= WINDOW) & (F.col("doc_id") == F.coalesce("first", "doc_id"))).dropDuplicates(["doc_id", "short"])
     seeds = materialize(firsts.select("doc_id", "short", F.explode("seeds").alias("seed")), "seeds")
     shared = (
         seeds.groupBy("seed")
@@ -262,7 +261,7 @@ def dedup(docs: DataFrame, hot_prefix: int = HOT_PREFIX) -> DataFrame:
     # a row that repeats a candidate's doc_id with other words was joined too; its own digest tells it apart
     texts = candidates.select("doc_id", "short", "text")
     lost = remove(texts.join(per_doc, ["doc_id", "short"])).dropDuplicates(["doc_id", "short"])
-    rows = stats.select("doc_id", "n_words", "digest", "short").join(reps, "digest", "left").join(lost, ["doc_id", "short"], "left")
+    rows = known.select("doc_id", "n_words", "digest", "short", "first").join(lost, ["doc_id", "short"], "left")
     copy = F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= WINDOW), F.lit(False))
     return rows.select(
         "doc_id",
