@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from arborspark.llm.common import materialize
 
 #: Words in a block of a document, and blocks in a passage of the matrix and in the two window sizes.
-UNIT, PASSAGE_UNITS, SHORT_UNITS = 16, 4, 2
+UNIT, PASSAGE_UNITS, SHORT_UNITS = 24, 3, 2
 #: Benchmark items are cut into passages of up to this many words, so that each fits a window at some step.
 CHUNK, SHORT_CHUNK = PASSAGE_UNITS * UNIT - UNIT + 1, SHORT_UNITS * UNIT - UNIT + 1
 #: Benchmark passages in a block; directions kept beyond their number; oversampling.
@@ -277,13 +277,14 @@ class Searcher:
 
     def __init__(self, block: Block, space: np.ndarray, telling: np.ndarray, cosine: float):
         self.block, self.space, self.telling, self.cosine = block, space.astype(np.float32), telling, cosine
-        latent = np.stack([self.space[ids].sum(axis=0) for _, ids in block.passages])
-        self.own = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+        # short passages first, so that the passages of a window size are one slice of the products
+        self.passages = sorted(block.passages, key=lambda p: len(p[1]) > SHORT_CHUNK)
+        latent = np.stack([self.space[ids].sum(axis=0) for _, ids in self.passages])
+        self.own = np.maximum(np.linalg.norm(latent, axis=1), 1e-9).astype(np.float32)
         self.products = self.space @ (latent / self.own[:, None]).T
-        lengths = np.array([len(ids) for _, ids in block.passages])
-        short = lengths <= SHORT_CHUNK
-        sizes = (SHORT_UNITS, np.flatnonzero(short)), (PASSAGE_UNITS, np.flatnonzero(~short))
-        self.sizes = [(units, own) for units, own in sizes if len(own)]
+        n_short = sum(len(ids) <= SHORT_CHUNK for _, ids in self.passages)
+        sizes = (SHORT_UNITS, slice(0, n_short)), (PASSAGE_UNITS, slice(n_short, len(self.passages)))
+        self.sizes = [(units, own) for units, own in sizes if own.stop > own.start]
 
     def leaks(self, texts: pa.Array, numbers: pa.Array) -> Iterator[tuple[int, int, float, float, bool]]:
         """(row, item_id, cosine, lcs, answer_found) for every leak, a bounded number of words at a time."""
@@ -325,9 +326,9 @@ class Searcher:
         sums = np.zeros((firsts[-1] + PASSAGE_UNITS, self.products.shape[1]), np.float32)
         sums[units[edge]] = np.add.reduceat(self.products[ids], edge, axis=0)
         for wide, own in self.sizes:
-            part = sums if len(self.sizes) == 1 else sums[:, own]
-            window = part[: firsts[-1]].copy()
-            for k in range(1, wide):
+            part = sums[:, own]
+            window = part[: firsts[-1]] + part[1 : firsts[-1] + 1]
+            for k in range(2, wide):
                 window += part[k : firsts[-1] + k]
             for i, j in zip(*np.nonzero(window >= MASS * self.own[own])):
                 a, b = np.searchsorted(units, (i, i + wide))
@@ -336,7 +337,7 @@ class Searcher:
                 if cosine >= self.cosine:
                     d = int(np.searchsorted(firsts, i, side="right")) - 1
                     word = int(i - firsts[d]) * UNIT
-                    item = self.block.passages[own[j]][0]
+                    item = self.passages[own.start + j][0]
                     found.setdefault(d, {}).setdefault(item, []).append((cosine, word, word + wide * UNIT))
         return found
 
