@@ -8,7 +8,9 @@
    vectors.
 3. The last compares every window of every document with every benchmark passage in that space (the benchmark is a stated query
    set, in blocks). A window's product with a passage is a sum over its terms, so it comes from one table of terms by passages;
-   windows that hold ``MASS`` of a passage's own product get their cosine, and those above ``COSINE`` are candidates.
+   windows that hold ``MASS`` of a passage's own product get their cosine, and those above ``COSINE`` are candidates. So are those
+   that hold ``SURE_MASS``, whatever their cosine: a window is longer than a short passage, and words of other items around a copy
+   turn its direction.
 4. Candidates are checked on the words themselves: longest common subsequence against stretches of 1.5 times the item's length,
    and whether the item's answer (its last words) stands there. A leak has an LCS share of ``LCS_SURE``, or of ``LCS_ANSWER``
    with the answer.
@@ -44,6 +46,8 @@ BLOCK_PASSAGES, EXTRA_RANK, OVERSAMPLE, SEED = 256, 16, 16, 11
 MAX_DF, MIN_TERMS = 0.03, 5
 #: Share of a passage's own product that a window must hold before its cosine is taken.
 MASS = 0.4
+#: Share from which a window is a candidate without the cosine; the smallest share of a leak.
+SURE_MASS = 0.6
 COSINE, LCS_SURE, LCS_ANSWER, ANSWER_WORDS = 0.55, 0.8, 0.6, 5
 #: Words that one batch of documents gathers before the matrix product.
 BATCH_WORDS = 60_000
@@ -334,7 +338,7 @@ class Searcher:
                 a, b = np.searchsorted(units, (i, i + wide))
                 norm = float(np.linalg.norm(self.space[ids[a:b]].sum(axis=0)))
                 cosine = float(window[i, j]) / max(norm, 1e-9)
-                if cosine >= self.cosine:
+                if cosine >= self.cosine or window[i, j] >= SURE_MASS * self.own[own.start + j]:
                     d = int(np.searchsorted(firsts, i, side="right")) - 1
                     word = int(i - firsts[d]) * UNIT
                     item = self.passages[own.start + j][0]

@@ -101,6 +101,18 @@ def test_decontamination_blocks_and_clean_agree(spark, sf):
     assert kept == {r.doc_id for r in docs.collect()} - {d for d, _ in whole}
 
 
+def test_decontamination_finds_items_among_others(spark, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(5)
+    short = [x for x in items if len(decontamination.bare_words(x[1])) <= decontamination.SHORT_CHUNK]
+    lists = [[pool[i] for i in rng.permutation(len(pool))] for pool in (short, items) for _ in range(5)]
+    planted = spark.createDataFrame([(-1 - n, " ".join(t for _, t in x)) for n, x in enumerate(lists)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs.unionByName(planted), bench).filter("doc_id < 0").collect()}
+    assert {(-1 - n, i) for n, x in enumerate(lists) for i, _ in x} <= got
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "one two three"), (4, "one two three")], "item_id long, text string")
     odd = odd_docs(spark)
