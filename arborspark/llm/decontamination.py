@@ -13,7 +13,8 @@
    turn its direction.
 4. Candidates are checked on the words themselves: longest common subsequence against stretches of 1.5 times the item's length,
    and whether the item's answer (its last words) stands there. A leak has an LCS share of ``LCS_SURE``, or of ``LCS_ANSWER``
-   with the answer.
+   with the answer. Of an item of several passages, one passage with a share of ``LCS_SURE`` is a leak too; ``lcs`` is the larger
+   share.
 
 The benchmark is read in blocks of ``BLOCK_PASSAGES`` passages, whose terms and vectors have a bounded size, so what is sent to
 executors doesn't grow with either table. Each block costs one pass over the documents' texts.
@@ -69,18 +70,18 @@ class Block:
     def __init__(self, items: list[tuple[int, str | None]]):
         self.items = [(i, w) for i, w in ((i, bare_words(t)) for i, t in items) if w]
         self.terms: dict[bytes, int] = {}
-        self.passages: list[tuple[int, list[int]]] = []  # item's place, terms
+        self.passages: list[tuple[int, int, list[int]]] = []  # item's place, first word, terms
         for k, (_, words) in enumerate(self.items):
             ids = [self.terms.setdefault(w, len(self.terms)) for w in words]
             parts = -(-len(ids) // CHUNK)
             cuts = [len(ids) * p // parts for p in range(parts + 1)]
-            self.passages += [(k, ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+            self.passages += [(k, a, ids[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     def weights(self, df: np.ndarray, n: int) -> np.ndarray:
         """idf of the terms; zero for terms that are too common to tell."""
         idf = np.log((n + 1) / (df + 1)) + 0.1
         common = df > MAX_DF * max(n, 1)
-        for _, ids in self.passages:
+        for _, _, ids in self.passages:
             own = np.unique(ids)
             if (~common[own]).sum() < MIN_TERMS:
                 common[own] = False
@@ -236,7 +237,7 @@ def latent_space(numbered: DataFrame, block: Block) -> tuple[np.ndarray, np.ndar
     rank = min(len(block.terms), len(block.passages) + EXTRA_RANK)
     random = np.random.default_rng(SEED).standard_normal((len(block.terms), min(len(block.terms), rank + OVERSAMPLE)))
     z = sample_range(numbered, idf, random)
-    for _, ids in block.passages:  # the benchmark's rows, each with the weight of all passages
+    for _, _, ids in block.passages:  # the benchmark's rows, each with the weight of all passages
         own, tf = np.unique(ids, return_counts=True)
         row = tf * idf[own]
         norm = float(row @ row)
@@ -282,11 +283,11 @@ class Searcher:
     def __init__(self, block: Block, space: np.ndarray, telling: np.ndarray, cosine: float):
         self.block, self.space, self.telling, self.cosine = block, space.astype(np.float32), telling, cosine
         # short passages first, so that the passages of a window size are one slice of the products
-        self.passages = sorted(block.passages, key=lambda p: len(p[1]) > SHORT_CHUNK)
-        latent = np.stack([self.space[ids].sum(axis=0) for _, ids in self.passages])
+        self.passages = sorted(block.passages, key=lambda p: len(p[2]) > SHORT_CHUNK)
+        latent = np.stack([self.space[ids].sum(axis=0) for _, _, ids in self.passages])
         self.own = np.maximum(np.linalg.norm(latent, axis=1), 1e-9).astype(np.float32)
         self.products = self.space @ (latent / self.own[:, None]).T
-        n_short = sum(len(ids) <= SHORT_CHUNK for _, ids in self.passages)
+        n_short = sum(len(ids) <= SHORT_CHUNK for _, _, ids in self.passages)
         sizes = (SHORT_UNITS, slice(0, n_short)), (PASSAGE_UNITS, slice(n_short, len(self.passages)))
         self.sizes = [(units, own) for units, own in sizes if own.stop > own.start]
 
@@ -307,12 +308,17 @@ class Searcher:
                     for k, places in sorted(spots.items()):
                         item_id, item = self.block.items[k]
                         best = max(verify(item, words, a, b) for a, b in _places(places))
+                        for first, end in sorted({p[3:] for p in places if p[4] - p[3] < len(item)}):
+                            if best[0] < LCS_SURE:
+                                own = _places([p for p in places if p[3] == first])
+                                share = max(verify(item[first:end], words, a, b)[0] for a, b in own)
+                                best = (share, best[1]) if share >= LCS_SURE else best
                         if best[0] >= LCS_SURE or (best[0] >= LCS_ANSWER and best[1]):
                             yield rows[d], item_id, max(p[0] for p in places), *best
                 rows, held, n = [], [], 0
 
-    def _candidates(self, held: list[np.ndarray]) -> dict[int, dict[int, list[tuple[float, int, int]]]]:
-        """For each document, for each item, the windows (cosine, first word, end) above the limits."""
+    def _candidates(self, held: list[np.ndarray]) -> dict[int, dict[int, list[tuple[float, int, int, int, int]]]]:
+        """For each document, for each item, the windows (cosine, first word, end) above the limits and the passage's words (first, end)."""
         # documents lie one after another in units of words, with empty units between them that no window crosses
         n_units = np.array([-(-len(ids) // UNIT) + PASSAGE_UNITS - 1 for ids in held])
         firsts = np.concatenate(([0], np.cumsum(n_units)))
@@ -321,7 +327,7 @@ class Searcher:
         at = np.flatnonzero(every >= 0)
         at = at[self.telling[every[at]]]
         ids = every[at]
-        found: dict[int, dict[int, list[tuple[float, int, int]]]] = {}
+        found: dict[int, dict[int, list[tuple[float, int, int, int, int]]]] = {}
         if not len(ids):
             return found
         of = np.searchsorted(begins, at, side="right") - 1
@@ -341,15 +347,15 @@ class Searcher:
                 if cosine >= self.cosine or window[i, j] >= SURE_MASS * self.own[own.start + j]:
                     d = int(np.searchsorted(firsts, i, side="right")) - 1
                     word = int(i - firsts[d]) * UNIT
-                    item = self.passages[own.start + j][0]
-                    found.setdefault(d, {}).setdefault(item, []).append((cosine, word, word + wide * UNIT))
+                    item, first, terms = self.passages[own.start + j]
+                    found.setdefault(d, {}).setdefault(item, []).append((cosine, word, word + wide * UNIT, first, first + len(terms)))
         return found
 
 
-def _places(windows: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+def _places(windows: list[tuple[float, int, int, int, int]]) -> list[tuple[int, int]]:
     """Overlapping windows are one place."""
     out: list[tuple[int, int]] = []
-    for _, a, b in sorted(windows, key=lambda w: w[1]):
+    for _, a, b, *_ in sorted(windows, key=lambda w: w[1]):
         if out and a <= out[-1][1]:
             out[-1] = out[-1][0], max(b, out[-1][1])
         else:

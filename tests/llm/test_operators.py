@@ -113,6 +113,15 @@ def test_decontamination_finds_items_among_others(spark, sf):
     assert {(-1 - n, i) for n, x in enumerate(lists) for i, _ in x} <= got
 
 
+def test_decontamination_finds_a_passage_of_a_long_item(spark):
+    words = [f"w{i}" for i in range(200)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    filler = " ".join(f"filler{i}" for i in range(150))
+    docs = docs_of(spark, [(1, f"{filler} {' '.join(words[20:120])} {filler}", "s"), (2, f"{filler} {' '.join(words[20:45])} {filler}", "s"), (3, filler, "s")])
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == {(1, 1)}
+    assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {2, 3}
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "one two three"), (4, "one two three")], "item_id long, text string")
     odd = odd_docs(spark)
