@@ -68,17 +68,18 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed) of every row."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp (signed) and the columns ``more`` of every row."""
 
     def make():
         def each(row: dict) -> Iterator[tuple]:
             fp = fingerprint(row["text"])
-            yield row["doc_id"], fp - (1 << 64) if fp >> 63 else fp
+            yield row["doc_id"], fp - (1 << 64) if fp >> 63 else fp, *(row[c] for c in more)
 
         return each
 
-    return arrow_rows(docs.select("doc_id", "text"), FINGERPRINTS, make)
+    schema = T.StructType([*FINGERPRINTS.fields, *(docs.schema[c] for c in more)])
+    return arrow_rows(docs.select("doc_id", "text", *more), schema, make)
 
 
 def syndromes(values: np.ndarray) -> np.ndarray:
@@ -210,24 +211,36 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs``."""
-    fps = materialize(fingerprints(docs), "fingerprints")
+def _classes(fps: DataFrame, hot: int) -> DataFrame:
+    """_fp, root, component_id of every fingerprint; components of rows without a doc_id differ in their root alone."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = materialize(distinct, "distinct")
     roots = components(links(distinct.select("fp"), hot))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
+    return named.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, fp, component_id of every row of ``docs``."""
+    fps = materialize(fingerprints(docs), "fingerprints")
+    classes = _classes(fps, hot).drop("root")
     return fps.join(classes, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """The row of ``docs`` with the smallest doc_id of each component, with its columns; a repeated doc_id stays once. Rows
-    without a doc_id cannot be told apart by one and stay."""
-    first = near_duplicates(docs, hot).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of ``docs`` of each component, with its columns: the one with the smallest doc_id, rows without one last, and among
+    equal ids the one with the smallest digest of all its columns. Equal rows are one; a doc_id that stands in several components
+    stays once in each that it is the first of."""
+    name = "_row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    keyed = docs.withColumn(name, F.unhex(F.sha2(F.to_json(F.struct("*")), 256)))
+    fps = materialize(fingerprints(keyed, name), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", F.col(name).alias("_digest"))
+    of_text = fps.groupBy("fp").agg(F.min(order).alias("_first"))
+    first = of_text.join(_classes(fps, hot), F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("_first").alias("_first"))
+    return keyed.join(first.select(F.col("_first._digest").alias(name)), name, "left_semi").dropDuplicates([name]).select(*docs.columns)
 
 
 def hex_fingerprint(fp="fp"):

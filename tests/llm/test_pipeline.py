@@ -50,3 +50,13 @@ def test_stages_on_odd_rows(spark, sf):
 def test_near_dedup_keeps_one(spark, sf):
     docs = spark.createDataFrame([(2, "same words in here", "en", "a", 1), (1, "same words in here", "en", "b", 2), (1, "same words in here", "en", "b", 2)], "doc_id long, text string, lang string, source string, n_chars int")
     assert [(r.doc_id, r.source) for r in simhash.keep_first(docs).collect()] == [(1, "b")]
+
+
+def test_near_dedup_drops_only_members_of_a_component(spark):
+    one, two, three = ("alpha beta gamma delta epsilon", "red green blue white black brown", "north south east west up down")
+    rows = [(1, one), (2, two), (2, one), (3, two), (3, three), (None, "a b c d e"), (None, "a b c d e"), (None, "f g h i j k"), (None, three)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    assert len({simhash.fingerprint(t) for _, t in rows}) == 5
+    kept = simhash.keep_first(docs)
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, one), (2, two), (3, three), (None, "a b c d e"), (None, "f g h i j k")}
+    assert kept.count() == 5 and kept.columns == docs.columns
