@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """``name`` with as many underscores as it takes to differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark reads it back, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """``df`` with its place from 0 in that order. Rows are dealt by range and written once; then each range is counted
+    and ranked by itself, so no task sees more than a range (and one row per range)."""
+    spark = df.sparkSession
+    part, start = (free_name(x, [*df.columns, name]) for x in ("_part", "_start"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy(part).agg(F.count("*").alias(start))  # as many rows as ranges
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    starts = counts.select(part, (F.sum(start).over(before) - F.col(start)).alias(start))
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return dealt.withColumn(name, inside).join(F.broadcast(starts), part).select(*df.columns, (F.col(name) + F.col(start) - 1).alias(name))
+
+
 def arrow_rows(
     df: DataFrame,
     schema: T.StructType,

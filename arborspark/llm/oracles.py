@@ -13,16 +13,17 @@ WITH turns AS (
 )
 SELECT CAST(conv_id AS BIGINT) AS conv_id,
        count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('<|im_start|>') + length(role) + 1 + length(safe) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
 
 OP8 = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS k FROM documents
 ), per AS (
   SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM sized GROUP BY source
 ), weighed AS (
@@ -37,7 +38,7 @@ WITH sized AS (
   FROM levels
 ), placed AS (
   SELECT z.*, s.source_size, s.target, s.rank,
-         sum(size) OVER (PARTITION BY z.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS off
+         sum(size) OVER (PARTITION BY z.source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size AS off
   FROM sized z JOIN shares s ON z.source IS NOT DISTINCT FROM s.source
 ), took AS (
   SELECT *, greatest(0, least(size, CAST(round(target) AS BIGINT) - off)) AS p0,

@@ -25,10 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborspark.llm.common import arrow_rows, materialize, utf8
+from arborspark.llm.common import arrow_rows, free_name, materialize, utf8
 from arborspark.llm.repetition import grow
 
-#: Labelled rows used at most, pairs drawn for each row of the rarer label, all pairs at most.
+#: Labelled rows used at most; pairs drawn for each row of the commoner label, and pairs at most. Pairs are drawn in turns over both labels, so
+#: with up to MAX_LABELS rows every labelled row is in pairs, whatever these two say.
 MAX_LABELS, PAIRS_EACH, MAX_PAIRS = 20_000, 20, 200_000
 RIDGE, STEPS, SEED = 1e-3, 30, 7
 #: The score at the cut.
@@ -195,7 +196,8 @@ def train_on(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> Rank
 
 def keep_good(docs: DataFrame, ranker: Ranker | None, cut: float = CUT_SCORE) -> DataFrame:
     """The rows of ``docs`` that score at least ``cut``, with their columns."""
-    return score_texts(docs, ranker, "_score").filter(F.col("_score") >= cut).drop("_score")
+    name = free_name("_score", docs.columns)
+    return score_texts(docs, ranker, name).filter(F.col(name) >= cut).drop(name)
 
 
 def held_out(doc_id: Column) -> Column:
