@@ -1,11 +1,12 @@
 """HTML extraction with two-pass block rules.
 
 The page is cut into tokens by one scan (comments, tags, text), which needs no well-formed markup. Block tags end a
-block; every block knows the containers it lies in. Pass 1 decides blocks alone: containers and class or id names of
-menus, notices and the like are boilerplate; blocks with mostly linked text are boilerplate; blocks that are long or
-rich in stop words are text; short blocks are left undecided. Pass 2 gives every undecided block the label of the
-nearest decided neighbour, counted in blocks; neighbours of its own container come first, and at equal distance text
-wins. A container that the page itself marks as its article labels what is left undecided in it as text.
+block; every block knows the containers it lies in. Pass 1 decides blocks alone, from stop-word density, length and link density:
+blocks with mostly linked text are boilerplate; blocks that are long or rich in stop words are text; short blocks are left
+undecided. What elements, classes and ids say is a feature beside these: containers named as menus, notices and the like
+are boilerplate, and where the page's own article elements hold most of its long, dense text, blocks outside of them are. Pass 2
+gives every undecided block the label of the nearest decided neighbour, counted in blocks; neighbours of its own container come
+first, and at equal distance text wins. What is then left undecided in an article element is text.
 
 Defined results: null or empty html gives an empty text; markup cut off at the end is read as far as it goes; an unclosed
 tag at the very end is dropped; repeated rows give repeated rows; extra columns are ignored; nothing is cut or capped.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -63,7 +65,8 @@ STOP = frozenset(
 )
 MAX_LINK_DENSITY, STOP_DENSITY, SHORT, LONG = 0.5, 0.25, 25, 140
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<(?=/?[a-zA-Z!?])[^>]*\Z", re.DOTALL)
+#: A quote opens an attribute's value right after ``=`` only.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<(?=/?[a-zA-Z!?])[^>]*\Z", re.DOTALL)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 
@@ -95,17 +98,20 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     linked_parts: list[str] = []
     stack: list[tuple[str, bool, bool, int]] = []  # element, around, article, container
+    n_open: Counter[str] = Counter()
+    unclosed: set[str] = set()
     around, article, container, links, n_containers = False, False, 0, 0, 0
 
     def end_block() -> None:
         if parts:
-            text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+            text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, len(SPACE.sub(" ", entities.unescape("".join(linked_parts))).strip()), around, article, container))
+                out.append(Block(text, len(SPACE.sub(" ", "".join(linked_parts)).strip()), around, article, container))
             parts.clear()
             linked_parts.clear()
 
     def say(text: str) -> None:
+        text = entities.unescape(text)  # a reference does not go on behind a tag
         parts.append(text)
         if links:
             linked_parts.append(text)
@@ -128,14 +134,18 @@ def blocks_of(page: str) -> list[Block]:
                 end_block()
             elif tag == "a":
                 links = max(0, links - 1)
-            if any(tag == s[0] for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if n_open[tag]:
+                closed = ""
+                while closed != tag:
+                    closed = stack.pop()[0]
+                    n_open[closed] -= 1
                 _, around, article, container = stack[-1] if stack else ("", False, False, 0)
             continue
         if tag in SILENT:
             if not attrs.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+                if close is None:
+                    unclosed.add(tag)  # nor will it be closed further on
                 # an unclosed head or title must not swallow the page
                 at = close.end() if close else (at if tag in ("head", "title", "object", "svg", "math", "select", "button") else end)
             continue
@@ -158,26 +168,31 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 around = around or not (tag == "header" and article)
             stack.append((tag, around, article, container))
+            n_open[tag] += 1
         elif tag in BLOCK and tag != "p" and tag != "li":
             stack.append((tag, around, article, container))
+            n_open[tag] += 1
     end_block()
     return out
 
 
+def _telling(b: Block) -> bool:
+    """Whether a block's length, links and stop words say that it is text."""
+    words = b.text.split()
+    dense = sum(w.strip(".,;:!?\"'()#*$%&|<>").lower() in STOP for w in words) / len(words)
+    return len(b.text) >= LONG and (dense >= STOP_DENSITY / 2 or b.linked == 0) or len(b.text) >= SHORT and dense >= STOP_DENSITY
+
+
 def classify(blocks: list[Block]) -> None:
     """Both passes; every block has a label then."""
-    has_article = any(b.article and not b.around for b in blocks)
     for b in blocks:
-        if b.around or b.linked > MAX_LINK_DENSITY * len(b.text):
-            b.label = False
-            continue
-        if has_article and not b.article:
-            b.label = False
-            continue
-        words = b.text.split()
-        dense = sum(w.strip(".,;:!?\"'()#*$%&|<>").lower() in STOP for w in words) / len(words)
-        if len(b.text) >= LONG and (dense >= STOP_DENSITY / 2 or b.linked == 0) or len(b.text) >= SHORT and dense >= STOP_DENSITY:
-            b.label = True
+        b.label = False if b.around or b.linked > MAX_LINK_DENSITY * len(b.text) else True if _telling(b) else None
+    text = [(len(b.text), b.article) for b in blocks if b.label]
+    inside = sum(n for n, article in text if article)
+    if inside * 2 >= sum(n for n, _ in text) and any(b.article and b.label is not False for b in blocks):
+        for b in blocks:
+            if not b.article:
+                b.label = False
     first = [b.label for b in blocks]
     for pool in (True, False):  # neighbours in the same container first, then any
         last: dict = {}
