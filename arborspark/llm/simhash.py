@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborspark.llm.common import arrow_rows, materialize, utf8
+from arborspark.llm.common import arrow_rows, free_name, materialize, utf8
 from arborspark.llm.components import components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -43,6 +43,8 @@ GOLAY = 0xC75
 #: Members from which an anchor is cut into sub-blocks, and the blocks: five that cover 64 bits.
 HOT = 20_000
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Places among which a component's fingerprints are dealt.
+SALTS = 64
 #: Comparisons held at once.
 CELLS = 1 << 20
 
@@ -216,9 +218,13 @@ def _classes(fps: DataFrame, hot: int) -> DataFrame:
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = materialize(distinct, "distinct")
     roots = components(links(distinct.select("fp"), hot))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    named = materialize(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", "root"), "named")
+    alone = named.filter("root IS NULL").select(F.col("fp").alias("_fp"), F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    members = named.filter("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    # a component may hold a third of all fingerprints: its id meets them in as many places
+    ids = members.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return alone.unionByName(members.join(ids, ["root", "salt"]).select(F.col("fp").alias("_fp"), "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -232,15 +238,13 @@ def keep_first(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row of ``docs`` of each component, with its columns: the one with the smallest doc_id, rows without one last, and among
     equal ids the one with the smallest digest of all its columns. Equal rows are one; a doc_id that stands in several components
     stays once in each that it is the first of."""
-    name = "_row"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = free_name("_row", docs.columns)
     keyed = docs.withColumn(name, F.unhex(F.sha2(F.to_json(F.struct("*")), 256)))
     fps = materialize(fingerprints(keyed, name), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", F.col(name).alias("_digest"))
     of_text = fps.groupBy("fp").agg(F.min(order).alias("_first"))
     first = of_text.join(_classes(fps, hot), F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min("_first").alias("_first"))
-    return keyed.join(first.select(F.col("_first._digest").alias(name)), name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    return keyed.join(first.select(F.col("_first._digest").alias(name)), name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def hex_fingerprint(fp="fp"):
