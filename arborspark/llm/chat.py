@@ -4,12 +4,16 @@ A record's layout is known by its fingerprint: the hash of its sorted nested fie
 For typed columns the paths come from the schema; for JSON text or VARIANT columns each row's own schema is read
 with ``schema_of_variant`` and the types are removed, so rows of different layouts may share a column. A mapping
 names the list of turns, the role and text fields and the names of roles, or lists (role, path) pairs for flat
-layouts. An unknown fingerprint gives null turns, which ``unmapped`` selects.
+layouts. A list may be empty and its turns may lack a field; such layouts have fingerprints of their own, which lead to the same mapping.
+An unknown fingerprint gives null turns in a VARIANT column and raises for a typed one.
+
+The output is the formatted text and its loss mask: for every turn the span, in characters behind the turn's start mark, that is
+trained on, or null. Spans count from each turn's mark, so reading a long conversation takes time in proportion to it.
 
 Escapes: inside texts ``<``, any number of backslashes, ``|`` gains one backslash, so no control string remains
 and removing one backslash restores the text. In roles backslash and newline are written as two characters.
 
-Defined results: a null text is empty; a null role is empty; turns order by turn (nulls first), then role, then text;
+Defined results: a null or lacking text or role is empty; turns order by turn (nulls first), then role, then text;
 repeated rows are repeated turns; a record without turns formats to the empty string; extra columns are ignored.
 One conversation is one record: like one text it must fit in a row.
 """
@@ -41,9 +45,13 @@ class Mapping:
     flat: tuple[tuple[str, str], ...] = ()
     roles: dict[str, str] = field(default_factory=dict, hash=False)
 
-    @property
-    def fingerprint(self) -> str:
-        return fingerprint(self.paths)
+    def layouts(self) -> list[tuple[str, ...]]:
+        """The field paths of the layouts that this mapping reads: its own, and for a list also those in which all turns lack a field, or
+        all are null, or there are none."""
+        if not self.turns:
+            return [self.paths]
+        at, role, text = self.turns
+        return [tuple(f"{at}[].{f}" for f in fields) for fields in ((text, role), (role,), (text,))] + [(f"{at}[]",), (at,)]
 
 
 def fingerprint(paths) -> str:
@@ -80,11 +88,16 @@ def paths_of(kind: T.DataType, at: str = "") -> list[str]:
 
 def typed_turns(payload: Column, kind: T.StructType, mappings=MAPPINGS) -> Column:
     """Canonical turns of a struct column; the schema's fingerprint chooses the mapping."""
-    own = fingerprint(paths_of(kind))
+    paths = paths_of(kind)
+    own = fingerprint(paths)
     for m in mappings:
-        if m.fingerprint == own:
-            return _turns(m, lambda path: payload.getField(path), lambda item, name: item.getField(name))
-    raise ValueError(f"no mapping for the layout {sorted(paths_of(kind))}")
+        if own in map(fingerprint, m.layouts()):
+            have = {p.rpartition(".")[2] for p in paths}
+            item = lambda item, name: item.getField(name) if name in have else F.lit(None).cast("string")
+            if m.turns and not have & set(m.turns[1:]):
+                return F.array().cast(TURN)
+            return _turns(m, lambda path: payload.getField(path), item)
+    raise ValueError(f"no mapping for the layout {sorted(paths)}")
 
 
 def variant_turns(payload: Column, mappings=MAPPINGS) -> Column:
@@ -98,18 +111,18 @@ def variant_turns(payload: Column, mappings=MAPPINGS) -> Column:
             turns = _turns(m, lambda _, items=items: items, lambda item, name: item.getField(name))
         else:
             turns = _turns(m, lambda path: F.variant_get(payload, f"$.{path}", "string"), None)
-        out = F.when(own == layout(m), turns).otherwise(out)
+        out = F.when(own.isin(shapes(m)), turns).otherwise(out)
     return out
 
 
-def layout(mapping: Mapping) -> str:
-    """A mapping's fingerprint as ``row_layout`` computes it."""
-    shape: dict = {}
-    for path in mapping.paths:
-        head, _, tail = path.partition("[].")
-        shape.setdefault(head, []).append(tail) if tail else shape.setdefault(head, None)
-    text = ",".join(f"{k}:ARRAY<OBJECT<{','.join(f'{t}:' for t in sorted(v))}>>" if v else f"{k}:" for k, v in sorted(shape.items()))
-    return hashlib.md5(f"OBJECT<{text}>".encode()).hexdigest()
+def shapes(mapping: Mapping) -> list[str]:
+    """The fingerprints of a mapping's layouts as ``row_layout`` computes them."""
+    if not mapping.turns:
+        schemas = [",".join(f"{p}:" for p in sorted(mapping.paths))]
+    else:
+        at, role, text = mapping.turns
+        schemas = [f"{at}:ARRAY<OBJECT<{','.join(f'{f}:' for f in sorted(fields))}>>" for fields in ((role, text), (role,), (text,), ())] + [f"{at}:ARRAY<>", f"{at}:"]
+    return [hashlib.md5(f"OBJECT<{x}>".encode()).hexdigest() for x in schemas]
 
 
 def row_layout(payload: Column) -> Column:
@@ -130,7 +143,7 @@ def _turns(m: Mapping, get, item_field) -> Column:
         r = item_field(item, role)
         return F.struct((F.coalesce(names[r], r) if names is not None else r).alias("role"), item_field(item, text).alias("text"))
 
-    return F.transform(get(at), one).cast(TURN)
+    return F.coalesce(F.transform(get(at), one).cast(TURN), F.array().cast(TURN))
 
 
 def escape_text(text: Column) -> Column:
@@ -162,30 +175,31 @@ def collect_turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-def segments(turns: Column) -> Column:
-    """The formatted text in order as (text, loss) pieces; loss marks assistant texts only."""
-    return F.flatten(
-        F.transform(
-            turns,
-            lambda t: F.array(
-                F.struct(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-                F.struct(escape_text(t["text"]).alias("text"), F.coalesce(t["role"] == "assistant", F.lit(False)).alias("loss")),
-                F.struct(F.lit(END + "\n").alias("text"), F.lit(False).alias("loss")),
-            ),
-        )
+def format_chats(records: DataFrame, turns: Column, key: str = "conv_id") -> DataFrame:
+    """key, formatted (the whole text) and loss: for every turn the span behind its start mark that is trained on, null for all but
+    assistant texts."""
+    marked = F.transform(
+        turns,
+        lambda t: F.struct(
+            escape_role(F.coalesce(t["role"], F.lit(""))).alias("role"), escape_text(t["text"]).alias("text"), F.coalesce(t["role"] == "assistant", F.lit(False)).alias("own")
+        ),
     )
 
+    def span(t: Column) -> Column:
+        start = F.length(t["role"]) + 1
+        return F.when(t["own"], F.struct(start.alias("start"), (start + F.length(t["text"])).alias("end")))
 
-def format_chats(records: DataFrame, turns: Column, key: str = "conv_id") -> DataFrame:
-    """key, formatted (the whole text) and segments (its pieces with the loss mask)."""
-    return records.select(key, segments(turns).alias("segments")).select(
-        key, F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments"
-    )
+    whole = F.transform("marked", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n")))
+    return records.select(key, marked.alias("marked")).select(key, F.array_join(whole, "").alias("formatted"), F.transform("marked", span).alias("loss"))
+
+
+def _pieces(formatted: Column) -> Column:
+    """What stands behind each start mark."""
+    return F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != "")
 
 
 def read_back(formatted: Column) -> Column:
     """Turns of a formatted text."""
-    pieces = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != "")
     cut = F.length(F.lit(END + "\n"))
 
     def turn(p: Column) -> Column:
@@ -193,9 +207,10 @@ def read_back(formatted: Column) -> Column:
         rest = F.substr(p, F.length(role) + 2, F.length(p) - F.length(role) - 1 - cut)
         return F.struct(unescape_role(role).alias("role"), unescape_text(rest).alias("text"))
 
-    return F.transform(pieces, turn)
+    return F.transform(_pieces(formatted), turn)
 
 
-def loss_text(pieces: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(pieces, lambda s: s["loss"]), lambda s: unescape_text(s["text"])), "")
+def loss_text(formatted: Column, loss: Column) -> Column:
+    """All text under the loss mask, cut from the formatted text by the spans and unescaped."""
+    own = F.zip_with(_pieces(formatted), loss, lambda p, s: F.when(s.isNotNull(), unescape_text(F.substr(p, s["start"] + 1, s["end"] - s["start"]))))
+    return F.array_join(own, "")
