@@ -6,7 +6,8 @@ network over two mixed-radix halves with cycle walking permutes the index, and t
 and a correct check digit. Equal values therefore get equal pseudonyms in all documents, different values different ones, lengths stay,
 and whoever has the key can undo it. The rounds are keyed BLAKE2b.
 
-Kinds: email, phone, ip, card, ssn, iban, date, secret (access keys, and values assigned to names such as password or token).
+Kinds: email, phone, ip (version 4), card, ssn, iban, date, secret (access keys, marked tokens, and values assigned to names such as
+password or token). Dates have numbers for the month; names of persons, street addresses and IPv6 addresses are left as they are.
 
 Defined results: null texts stay null, empty ones empty; overlapping finds go to the earlier kind in that order of trust; values
 that fail validation stay; repeated rows give repeated rows; a permutation may fix a value (chance one in the number of values of the format);
@@ -18,16 +19,18 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborspark.llm.common import arrow_rows
 
-#: A key for tests and examples; production passes its own secret.
-EXAMPLE_KEY = b"not a secret: pass your own key"
+#: The session setting that holds the key.
+KEY_SETTING = "spark.arborspark.pii.key"
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
 
@@ -35,6 +38,16 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+_session_keys: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key of ``spark.arborspark.pii.key``. Where it is unset, a random key that lives as long as the application: values are linked
+    within its runs and nobody can undo them. Set a key of your own to link or undo across applications."""
+    found = spark.conf.get(KEY_SETTING, None)
+    return found.encode() if found else _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 def permute(index: int, size: int, key: bytes, tweak: str, undo: bool = False) -> int:
     """A keyed permutation of range(size)."""
     if size < 2:
@@ -108,12 +121,18 @@ def _email(m: re.Match, key: bytes, undo: bool) -> str | None:
     return permute_text(name, _classes(name), key, "email", undo) + "@" + permute_text(stem, _classes(stem), key, "host", undo) + dot + top
 
 
+#: Names after which a value without digits is a secret behind a colon too; behind others it is prose (fixed values).
+TELLING = frozenset("password passwd pwd api_key api-key apikey access_key access-key accesskey".split())
+
+
 def _secret(m: re.Match, key: bytes, undo: bool) -> str | None:
     value = m.group()
-    kind, at = ("key", m.start("key") - m.start()) if m.group("key") else ("value", m.start("value") - m.start())
+    kind = next(k for k in ("key", "mark", "value") if m.group(k))
+    at = m.start(kind) - m.start()
     head, own = value[:at], m.group(kind)
-    if kind == "value" and (len(own) < 6 or not any(c in DIGITS for c in own)):
-        return None  # prose after a colon
+    if kind == "value" and not any(c in DIGITS for c in own) and (len(own) < 8 or m.group("colon") and m.group("name").lower() not in TELLING):
+        if not (m.group("eq") and len(own) >= 6):
+            return None  # prose after a colon
     hexes = re.fullmatch(r"[0-9a-f]+", own)
     base32 = kind == "key" and re.fullmatch(r"[A-Z2-7]+", own)
     alphabets = [DIGITS + "abcdef"] * len(own) if hexes else [UPPER + "234567"] * len(own) if base32 else _classes(own)
@@ -202,6 +221,9 @@ def _date(m: re.Match, key: bytes, undo: bool) -> str | None:
     if order == "mdy" and int(a) > 12:
         order = "dmy"
     got = dict(zip(order, (a, b, c)))
+    bare = len(got["m"]) == 1 or len(got["d"]) == 1  # numbers stand without a leading zero
+    if bare and (got["m"][0] == "0" or got["d"][0] == "0"):
+        return None
     try:
         day = datetime.date(int(got["y"]), int(got["m"]), int(got["d"])).toordinal()
     except ValueError:
@@ -211,9 +233,13 @@ def _date(m: re.Match, key: bytes, undo: bool) -> str | None:
     while True:
         day = FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", undo)
         moved = datetime.date.fromordinal(day)
-        if mark != "/" or order == "mdy" or moved.day > 12:  # else it would be read month first: walk on
+        # walk on until the date is read back the same way: as many digits, and not month first
+        if bare and (len(str(moved.month)), len(str(moved.day))) != (len(got["m"]), len(got["d"])):
+            continue
+        if mark != "/" or order != "dmy" or moved.day > 12:
             break
-    return mark.join({"y": f"{moved.year:04d}", "m": f"{moved.month:02d}", "d": f"{moved.day:02d}"}[k] for k in order)
+    two = "" if bare else "02"
+    return mark.join({"y": f"{moved.year:04d}", "m": f"{moved.month:{two}d}", "d": f"{moved.day:{two}d}"}[k] for k in order)
 
 
 #: kind, what a text must hold to be searched, the finder, the validator and permutation.
@@ -223,28 +249,29 @@ FINDERS: tuple[tuple[str, Callable[[str], bool], re.Pattern, Callable], ...] = (
         "secret", lambda t: True,
         re.compile(
             r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)(?P<key>[A-Z0-9]{16})(?![A-Za-z0-9])"
-            r"|(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_-]{6,}))"
+            r"|(?:gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza)(?P<mark>[A-Za-z0-9_-]{16,})"
+            r"|(?P<name>(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth))\s*(?:(?P<eq>=)|(?P<colon>:))\s*[\"']?(?P<value>[A-Za-z0-9+/_-]{6,}))"
         ), _secret,
     ),
     ("iban", lambda t: True, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
     ("card", lambda t: True, re.compile(r"(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})(?![0-9])"), _card),
     (
         "phone", lambda t: True,
-        re.compile(r"(?:(?<![0-9])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<![0-9])\+(?!1[ .(-])[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])"),
+        re.compile(r"(?:(?<![0-9])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<![0-9])\+(?!1[ .(-])[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![0-9.-])(?:1([ .-]))?[2-9][0-9]{2}([ .-])[2-9][0-9]{2}\2[0-9]{4}|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])"),
         _phone,
     ),
     ("ssn", lambda t: "-" in t, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _ssn),
     ("ip", lambda t: "." in t, re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"), _ip),
     (
         "date", lambda t: True,
-        re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?!\.?[0-9/-])"), _date,
+        re.compile(r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?!\.?[0-9/-])"), _date,
     ),
 )
 _ANY_DIGIT = re.compile(r"[0-9]")
 _NUMERIC = {"iban", "card", "phone", "ssn", "ip", "date"}
 
 
-def pseudonymize(text: str | None, key: bytes = EXAMPLE_KEY, undo: bool = False) -> tuple[str | None, dict[str, int]]:
+def pseudonymize(text: str | None, key: bytes, undo: bool = False) -> tuple[str | None, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind it has."""
     counts: dict[str, int] = {}
     if not text:
@@ -252,23 +279,27 @@ def pseudonymize(text: str | None, key: bytes = EXAMPLE_KEY, undo: bool = False)
     digits = _ANY_DIGIT.search(text) is not None
     found: list[tuple[int, int, str]] = []
     for kind, may, finder, move in FINDERS:
-        if (kind in _NUMERIC or kind == "secret") and not digits and "AKIA" not in text and "ASIA" not in text or not may(text):
+        if kind in _NUMERIC and not digits or not may(text):
             continue
+        mine: list[tuple[int, int, str]] = []
         for m in finder.finditer(text):
             a, b = m.span()
-            if all(b <= x or y <= a for x, y, _ in found) and (fresh := move(m, key, undo)) is not None:
-                found.append((a, b, fresh))
-                counts[kind] = counts.get(kind, 0) + 1
+            k = bisect_left(found, (a,))  # finds are in order and apart, so only two can overlap
+            if (not k or found[k - 1][1] <= a) and (k == len(found) or b <= found[k][0]) and (fresh := move(m, key, undo)) is not None:
+                mine.append((a, b, fresh))
+        if mine:
+            found = sorted(found + mine)
+            counts[kind] = len(mine)
     if not found:
         return text, counts
     out, at = [], 0
-    for a, b, fresh in sorted(found):
+    for a, b, fresh in found:
         out += (text[at:a], fresh)
         at = b
     return "".join(out) + text[at:], counts
 
 
-def pseudonyms(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with pseudonyms, n_found and a count per kind, for every row."""
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_found", T.LongType())]
@@ -285,7 +316,7 @@ def pseudonyms(docs: DataFrame, key: bytes = EXAMPLE_KEY) -> DataFrame:
     return arrow_rows(docs.select("doc_id", "text"), schema, make, out_rows=2_000)
 
 
-def pseudonymize_column(docs: DataFrame, key: bytes = EXAMPLE_KEY, column: str = "text") -> DataFrame:
+def pseudonymize_column(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``column``; all other columns stay."""
 
     @F.pandas_udf("string")

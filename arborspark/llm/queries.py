@@ -39,7 +39,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(table(spark, sf_dir, "documents"))
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.parse_json(own).alias("payload"))
     turns = turns.unionByName(extra.select("conv_id", chat.variant_turns(F.col("payload")).alias("turns")))
     out = chat.format_chats(turns, F.col("turns")).select(
-        "conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")
+        "conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss")
     )
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
