@@ -1,11 +1,12 @@
 """Token counts as delta-maintained rollups.
 
-Texts are tokenized once, in ``count_tokens``. A change is an insert (n_tokens), a delete (old_tokens, the count before) or a
+Each text column of a row is tokenized once, in ``count_tokens``, and a column that equals the first one not again. A change is an insert (n_tokens), a delete (old_tokens, the count before) or a
 revision (both), for one tokenizer version. It contributes signed counts, + for the state after and - for the state before, per
 source, language and tokenizer version, so batches carry counts and no texts. A batch of changes is summed to one
 small delta per key and written once under its batch id; totals are the sum of all committed deltas.
-Committing a batch id again changes nothing, so a batch may be retried at will: the delta is written to an attempt
-folder first and becomes visible by one rename. ``compact`` folds committed batches into one base, which remembers their ids.
+Committing a batch id again changes nothing, so a batch may be retried at will: the delta is written to a folder of the
+attempt first and becomes visible by one rename that fails where the batch is there already, so of two committers one wins. (The rename
+is atomic where the file system's is, as on HDFS.) ``compact`` folds committed batches into one base, which remembers their ids.
 
 Defined results: null texts and null counts are no tokens but a document; null source or lang is a key of its own; repeated rows
 count each; empty batches commit an empty delta; unknown operations raise; extra columns are ignored. A revision that moves
@@ -16,8 +17,10 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +120,26 @@ class Rollup:
         found = [n for n in self._names() if re.fullmatch(r"base-\d{6}", n)]
         return found[-1] if found else None
 
+    def _publish(self, attempt: str, name: str) -> bool:
+        """Move an attempt to its final name; False if that is taken."""
+        jvm = self.spark.sparkContext._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            files.rename(self._Path(attempt), self._Path(f"{self.path}/{name}"), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError:
+            if not self._fs.exists(self._Path(f"{self.path}/{name}")):
+                raise
+            self._fs.delete(self._Path(attempt), True)
+            return False
+        return True
+
+    def has(self, batch: str) -> bool:
+        """Whether a batch is committed; of the folded ids only this one is looked up."""
+        if self._fs.exists(self._Path(f"{self.path}/batch={batch}")):
+            return True
+        base = self._base()
+        return bool(base) and bool(self.spark.read.parquet(f"{self.path}/{base}/batches").filter(F.col("batch") == batch).limit(1).count())
+
     def committed(self) -> set[str]:
         """Ids of all committed batches, compacted ones included."""
         own = {n.removeprefix("batch=") for n in self._names() if n.startswith("batch=")}
@@ -129,17 +152,11 @@ class Rollup:
         """Add a batch; False if its id was committed before, then nothing is read or changed."""
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError(f"not a batch id: {batch!r}")
-        if batch in self.committed():
-            return False
-        attempt = f"{self.path}/.attempt-{batch}"
-        deltas(changes).coalesce(1).write.mode("overwrite").parquet(attempt)
-        # rename does not replace an existing folder; a concurrent commit of the same batch therefore wins once
-        if self._fs.exists(self._Path(f"{self.path}/batch={batch}")) or not self._fs.rename(
-            self._Path(attempt), self._Path(f"{self.path}/batch={batch}")
-        ):
-            self._fs.delete(self._Path(attempt), True)
+        if self.has(batch):
             return False
-        return True
+        attempt = f"{self.path}/.attempt-{uuid.uuid4().hex}"
+        deltas(changes).write.parquet(attempt)
+        return self._publish(attempt, f"batch={batch}")
 
     def _parts(self) -> list[str]:
         base = self._base()
@@ -160,9 +177,9 @@ class Rollup:
         """Fold all committed batches into the next base; a crash between the steps leaves the old state valid."""
         base, ids = self._base(), sorted(self.committed())
         number = int(base.removeprefix("base-")) + 1 if base else 0
-        attempt, final = f"{self.path}/.attempt-base", f"{self.path}/base-{number:06d}"
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{attempt}/totals")
-        self.spark.createDataFrame([(i,) for i in ids], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{attempt}/batches")
-        self._fs.rename(self._Path(attempt), self._Path(final))
-        for i in ids:
-            self._fs.delete(self._Path(f"{self.path}/batch={i}"), True)
+        attempt = f"{self.path}/.attempt-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{attempt}/totals")
+        self.spark.createDataFrame([(i,) for i in ids], "batch string").write.parquet(f"{attempt}/batches")
+        if self._publish(attempt, f"base-{number:06d}"):
+            for i in ids:
+                self._fs.delete(self._Path(f"{self.path}/batch={i}"), True)
