@@ -29,7 +29,7 @@ def test_stages(spark, sf):
     leaks = lambda t: any(b" " + i + b" " in b" " + b" ".join(decontamination.bare_words(t)) + b" " for i in items)
     assert set(held[3]) == {i for i, r in held[2].items() if not leaks(r.text)}
     # 4: every text by the pseudonymizer
-    assert {i: r.text for i, r in held[4].items()} == {i: pii.pseudonymize(r.text)[0] for i, r in held[3].items()}
+    assert {i: r.text for i, r in held[4].items()} == {i: pii.pseudonymize(r.text, pii.key_of(spark))[0] for i, r in held[3].items()}
     assert all(df.columns == docs.columns for df in inputs[:-1])
     # 5: whole rows, in order, one and a half times the words
     mixed = inputs[-1].collect()
@@ -47,6 +47,14 @@ def test_stages_on_odd_rows(spark, sf):
         assert df.count() >= 0
 
 
+def test_run_on_odd_rows(spark, sf, tmp_path):
+    for n, docs in enumerate((odd_docs(spark).drop("a.b"), no_docs(spark))):
+        docs.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{n}/{name}.parquet")
+        assert bool(corpus_pipeline.run(spark, f"{tmp_path}/{n}").count()) == (n == 0)
+
+
 def test_near_dedup_keeps_one(spark, sf):
     docs = spark.createDataFrame([(2, "same words in here", "en", "a", 1), (1, "same words in here", "en", "b", 2), (1, "same words in here", "en", "b", 2)], "doc_id long, text string, lang string, source string, n_chars int")
     assert [(r.doc_id, r.source) for r in simhash.keep_first(docs).collect()] == [(1, "b")]
