@@ -1,27 +1,33 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Words of the benchmark are the terms. One pass writes every document's term numbers in the shared folder, so texts are cut into
-   words once; all further passes read numbers. The first of them counts in how many passages each term occurs (idf).
-2. The next multiplies the TF-IDF matrix A of all passages with a random matrix: Z = A^T (A R), summed in two levels. The
-   benchmark's own passages are rows of A too, with a weight that makes the retained directions span them; else rare words,
-   on which a leak shows, would fall out of the truncated space. A single-pass Nystrom step turns Z and R into singular
-   vectors.
-3. The last compares every window of every document with every benchmark passage in that space (the benchmark is a stated query
-   set, in blocks). A window's product with a passage is a sum over its terms, so it comes from one table of terms by passages;
-   windows that hold ``MASS`` of a passage's own product get their cosine, and those above ``COSINE`` are candidates. So are those
-   that hold ``SURE_MASS``, whatever their cosine: a window is longer than a short passage, and words of other items around a copy
-   turn its direction.
+1. A word's number is a hash of 16 bits, so numbers need no vocabulary. One pass writes the numbers of every document beside it in the
+   shared folder: texts are cut into words once, for all of the benchmark; all further passes read numbers. The terms are the numbers that
+   occur in the benchmark. Words that share a number make a document look more like a passage, never less; the last step reads words.
+2. The next pass counts in how many passages of all documents each term occurs (idf). Another one multiplies the TF-IDF matrix A of all
+   passages with a random matrix: Z = A^T (A R). Tasks send Z in ranges of terms, which are summed in as many tasks, and a
+   single-pass Nystrom step turns Z and R into the leading ``RANK`` right singular vectors. They come from the documents
+   alone, have a fixed number, and serve the whole benchmark.
+3. The benchmark is a stated query set, read in blocks. The space of a block is those singular vectors, which count ``LATENT`` times, and beside
+   them what the block's own passages add (SVD updating): an orthonormal basis of their residuals. On prose without topics
+   the leading directions alone would lose the rare words, on which a leak shows. Every window of every document is compared with every
+   passage of the block in that space. A window's product with a passage is a sum over its terms, so it comes from one table of terms
+   by passages; windows that hold ``MASS`` of a passage's own product get their cosine, and those above ``COSINE`` are
+   candidates. So are those that hold ``SURE_MASS``, whatever their cosine: a window is longer than a short passage, and words of
+   other items around a copy turn its direction.
 4. Candidates are checked on the words themselves: longest common subsequence against stretches of 1.5 times the item's length,
    and whether the item's answer (its last words) stands there. A leak has an LCS share of ``LCS_SURE``, or of ``LCS_ANSWER``
    with the answer. Of an item of several passages, one passage with a share of ``LCS_SURE`` is a leak too; ``lcs`` is the larger
    share.
 
-The benchmark is read in blocks of ``BLOCK_PASSAGES`` passages, whose terms and vectors have a bounded size, so what is sent to
-executors doesn't grow with either table. Each block costs one pass over the documents' texts.
+What it finds: copies in whole, and paraphrases that keep 55 words in 100 in their order (unrelated text stays below 45). Words that co-occur add to a product through
+the singular vectors, but a passage retold in other words has no common subsequence and is not reported.
 
-Defined results: null and empty texts, and texts without a term, are clean; an item without words matches nothing; repeated items
-and repeated documents are each reported; without a benchmark nothing is; a leak at a text's edge or cut by few words is found;
-extra columns are ignored by ``leaks`` and kept by ``clean``.
+``BLOCKS`` blocks of ``BLOCK_PASSAGES`` passages are searched in one pass, whose terms and vectors have a bounded size, so what is sent to
+executors does not grow with the data; a larger benchmark costs one more pass over the numbers for as many.
+
+Defined results: null and empty texts leak nothing; items without words are in no document; rows that repeat a doc_id or an item_id
+are compared each for itself; a null doc_id is reported as null; without documents or items there are no leaks;
+extra columns are ignored by ``leaks`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,29 +37,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborspark.llm.common import materialize
+from arborspark.llm.common import materialize, quoted
 
 #: Words in a block of a document, and blocks in a passage of the matrix and in the two window sizes.
 UNIT, PASSAGE_UNITS, SHORT_UNITS = 24, 3, 2
 #: Benchmark items are cut into passages of up to this many words, so that each fits a window at some step.
 CHUNK, SHORT_CHUNK = PASSAGE_UNITS * UNIT - UNIT + 1, SHORT_UNITS * UNIT - UNIT + 1
-#: Benchmark passages in a block; directions kept beyond their number; oversampling.
-BLOCK_PASSAGES, EXTRA_RANK, OVERSAMPLE, SEED = 256, 16, 16, 11
+#: Benchmark passages in a block, and blocks searched in one pass.
+BLOCK_PASSAGES, BLOCKS = 256, 8
+#: Singular vectors kept, oversampling, and how much the vectors count beside the benchmark's residuals.
+RANK, OVERSAMPLE, SEED, LATENT = 64, 16, 11, 1.2
+#: Terms of a range in which tasks send their part of Z.
+RANGE_TERMS = 512
 #: Terms in more than this share of the passages are left out, unless an item would keep fewer than MIN_TERMS.
 MAX_DF, MIN_TERMS = 0.03, 5
 #: Share of a passage's own product that a window must hold before its cosine is taken.
-MASS = 0.4
+MASS = 0.35
 #: Share from which a window is a candidate without the cosine; the smallest share of a leak.
-SURE_MASS = 0.6
-COSINE, LCS_SURE, LCS_ANSWER, ANSWER_WORDS = 0.55, 0.8, 0.6, 5
+SURE_MASS = 0.5
+COSINE, LCS_SURE, LCS_ANSWER, ANSWER_WORDS = 0.45, 0.55, 0.5, 5
 #: Words that one batch of documents gathers before the matrix product.
 BATCH_WORDS = 60_000
-#: How term numbers are packed.
-NUMBER = np.dtype("<i4")
+#: How numbers are packed, how many there are, and how many words' numbers a task remembers.
+NUMBER, NUMBERS, REMEMBERED = np.dtype("<u2"), 1 << 16, 1 << 20
 
 LEAKS = "doc_id long, item_id long, cosine double, lcs double, answer_found boolean"
 _BARE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -64,36 +75,41 @@ def bare_words(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_BARE).split() if text else []
 
 
+class Numbers(dict):
+    """The number of each word, worked out once per task for up to REMEMBERED words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        n = self[word] = xxhash.xxh32_intdigest(word) & (NUMBERS - 1)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), NUMBER, len(words))
+
+
 class Block:
-    """A block of benchmark items: their words, their passages, and the terms with their numbers."""
+    """A block of benchmark items: their words and their passages as numbers."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.items = [(i, w) for i, w in ((i, bare_words(t)) for i, t in items) if w]
-        self.terms: dict[bytes, int] = {}
-        self.passages: list[tuple[int, int, list[int]]] = []  # item's place, first word, terms
+        self.passages: list[tuple[int, int, np.ndarray]] = []  # item's place, first word, numbers
+        numbers = Numbers()
         for k, (_, words) in enumerate(self.items):
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words]
+            ids = numbers.of(words)
             parts = -(-len(ids) // CHUNK)
             cuts = [len(ids) * p // parts for p in range(parts + 1)]
             self.passages += [(k, a, ids[a:b]) for a, b in zip(cuts, cuts[1:])]
 
-    def weights(self, df: np.ndarray, n: int) -> np.ndarray:
-        """idf of the terms; zero for terms that are too common to tell."""
-        idf = np.log((n + 1) / (df + 1)) + 0.1
-        common = df > MAX_DF * max(n, 1)
-        for _, _, ids in self.passages:
-            own = np.unique(ids)
-            if (~common[own]).sum() < MIN_TERMS:
-                common[own] = False
-        return np.where(common, 0.0, idf)
-
 
 def blocks_of(benchmark: DataFrame, most: int = BLOCK_PASSAGES) -> Iterator[Block]:
     """Blocks of the benchmark; one partition at a time reaches the driver."""
     held: list[tuple[int, str | None]] = []
     n = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        k = max(1, -(-len(bare_words(row.text)) // CHUNK))
+        k = -(-len(bare_words(row.text)) // CHUNK)
+        if not k:
+            continue
         if held and n + k > most:
             yield Block(held)
             held, n = [], 0
@@ -103,39 +119,37 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_PASSAGES) -> Iterator[Bloc
         yield Block(held)
 
 
-def with_terms(docs: DataFrame, block: Block) -> tuple[DataFrame, str]:
-    """``docs`` with one more column of packed term numbers (-1 for other words), written once, and the column's name."""
-    name = "_terms"
-    while name in {c.lower() for c in docs.columns}:
-        name += "_"
-    shared = docs.sparkSession.sparkContext.broadcast(block.terms)
-    at = docs.columns.index("text")
+def numbered(docs: DataFrame, *more: str) -> DataFrame:
+    """The columns ``more`` of ``docs``, then text, then the packed numbers of its words, written once. Columns are called by their
+    places (c0, c1, ...)."""
+    columns = [*more, "text"]
+    rows = docs.select(*[F.col(quoted(c)) for c in columns]).toDF(*[f"c{i}" for i in range(len(columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        numbers = Numbers()
         for batch in batches:
-            texts = batch.column(at)
-            packed = [np.array([get(w, -1) for w in bare_words(texts[r].as_py())], NUMBER).tobytes() for r in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, name])
+            texts = batch.column(batch.num_columns - 1)
+            packed = [numbers.of(bare_words(texts[r].as_py())).tobytes() for r in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=[*batch.schema.names, "numbers"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
-    return materialize(docs.mapInArrow(run, schema), "terms"), name
+    return materialize(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("numbers", T.BinaryType())])), "numbers")
 
 
-def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _terms_of(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[np.ndarray]:
+    """The terms of each document, -1 for other words."""
     for batch in batches:
         values = batch.column(0)
         for r in range(batch.num_rows):
-            yield np.frombuffer(values[r].as_py(), NUMBER)
+            yield places[np.frombuffer(values[r].as_py(), NUMBER)]
 
 
-def document_frequencies(numbered: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+def document_frequencies(rows: DataFrame, places: np.ndarray, n_terms: int) -> tuple[np.ndarray, int]:
     """In how many passages of all documents each term occurs, and how many passages there are."""
     width = PASSAGE_UNITS * UNIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(n_terms, np.int64), 0
-        for ids in _numbers(batches):
+        for ids in _terms_of(batches, places):
             n += -(-len(ids) // width)
             at = np.flatnonzero(ids >= 0)
             if len(at):
@@ -146,9 +160,9 @@ def document_frequencies(numbered: DataFrame, n_terms: int) -> tuple[np.ndarray,
             [pa.array(np.concatenate(([-1], own))), pa.array(np.concatenate(([n], df[own])))], names=["term", "n"]
         )
 
-    rows = numbered.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("numbers").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out, total = np.zeros(n_terms, np.int64), 0
-    for r in rows:
+    for r in found:
         if r.term < 0:
             total = r.n
         else:
@@ -157,25 +171,28 @@ def document_frequencies(numbered: DataFrame, n_terms: int) -> tuple[np.ndarray,
 
 
 def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, key = None, 0
+    """The sum of each range that a task was dealt."""
+    totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for r in range(batch.num_rows):
-            part = np.frombuffer(batch.column(1)[r].as_py(), np.float32).astype(np.float64)
-            total = part if total is None else total + part
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "data"])
-
-
-def sample_range(numbered: DataFrame, idf: np.ndarray, random: np.ndarray) -> np.ndarray:
-    """Z = A^T (A R) over the passages of all documents, A with rows of length one. Tasks send one matrix each; eight tasks sum
-    those and one sums the eight."""
-    shared = numbered.sparkSession.sparkContext.broadcast((idf.astype(np.float32), random.astype(np.float32)))
+            key, part = batch.column(0)[r].as_py(), np.frombuffer(batch.column(1)[r].as_py(), np.float32)
+            if key in totals:
+                totals[key] += part
+            else:
+                totals[key] = part.astype(np.float64)
+    if totals:
+        data = [t.astype(np.float32).tobytes() for t in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+
+def sample_range(rows: DataFrame, places: np.ndarray, idf: np.ndarray, random: np.ndarray) -> np.ndarray:
+    """Z = A^T (A R) over the passages of all documents, A with rows of length one. Tasks send their sums in ranges of terms; each range is
+    summed by itself, and the ranges together are the size of R."""
+    shared = rows.sparkSession.sparkContext.broadcast((places, idf.astype(np.float32), random.astype(np.float32)))
     width = PASSAGE_UNITS * UNIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        idf, random = shared.value
+        places, idf, random = shared.value
         weighted = random * idf[:, None]
         z = np.zeros_like(random)
         held: list[np.ndarray] = []
@@ -189,10 +206,10 @@ def sample_range(numbered: DataFrame, idf: np.ndarray, random: np.ndarray) -> np
                 all_ids.append(ids[at])
                 all_rows.append(at // width + offset)
                 offset += -(-len(ids) // width)
-            ids, rows = np.concatenate(all_ids), np.concatenate(all_rows)
+            ids, of = np.concatenate(all_ids), np.concatenate(all_rows)
             if not len(ids):
                 return
-            begins = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            begins = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
             y = np.add.reduceat(weighted[ids], begins, axis=0)
             y /= np.add.reduceat(idf[ids] ** 2, begins)[:, None]
             place = np.repeat(np.arange(len(begins)), np.diff(np.concatenate((begins, [len(ids)]))))
@@ -201,7 +218,7 @@ def sample_range(numbered: DataFrame, idf: np.ndarray, random: np.ndarray) -> np
             own = ids[order[first]]
             z[own] += idf[own, None] * np.add.reduceat(y[place[order]], first, axis=0)
 
-        for ids in _numbers(batches):
+        for ids in _terms_of(batches, places):
             held.append(ids)
             n += len(ids)
             if n >= BATCH_WORDS:
@@ -209,14 +226,19 @@ def sample_range(numbered: DataFrame, idf: np.ndarray, random: np.ndarray) -> np
                 held, n = [], 0
         if held:
             flush()
+        cuts = range(0, len(z), RANGE_TERMS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId() % 8], pa.int32()), pa.array([z.tobytes()], pa.binary())], names=["part", "data"]
+            [pa.array([c // RANGE_TERMS for c in cuts], pa.int32()), pa.array([z[c : c + RANGE_TERMS].tobytes() for c in cuts], pa.binary())],
+            names=["part", "data"],
         )
 
     schema = "part int, data binary"
-    parts = numbered.mapInArrow(run, schema)
-    row = parts.repartition(8, "part").mapInArrow(_sum_parts, schema).coalesce(1).mapInArrow(_sum_parts, schema).first()
-    return np.frombuffer(row.data, np.float32).reshape(random.shape).astype(np.float64) if row else np.zeros_like(random)
+    parts = rows.select("numbers").mapInArrow(run, schema).repartition("part").mapInArrow(_sum_parts, schema).collect()
+    z = np.zeros_like(random)
+    for r in parts:
+        part = np.frombuffer(r.data, np.float32).reshape(-1, random.shape[1])
+        z[r.part * RANGE_TERMS : r.part * RANGE_TERMS + len(part)] = part
+    return z
 
 
 def singular_vectors(z: np.ndarray, random: np.ndarray, rank: int) -> np.ndarray:
@@ -230,20 +252,28 @@ def singular_vectors(z: np.ndarray, random: np.ndarray, rank: int) -> np.ndarray
     return u[:, :rank]
 
 
-def latent_space(numbered: DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """idf of the block's terms, and idf times the singular vectors (terms x rank)."""
-    df, n = document_frequencies(numbered, len(block.terms))
-    idf = block.weights(df, n)
-    rank = min(len(block.terms), len(block.passages) + EXTRA_RANK)
-    random = np.random.default_rng(SEED).standard_normal((len(block.terms), min(len(block.terms), rank + OVERSAMPLE)))
-    z = sample_range(numbered, idf, random)
-    for _, _, ids in block.passages:  # the benchmark's rows, each with the weight of all passages
-        own, tf = np.unique(ids, return_counts=True)
-        row = tf * idf[own]
-        norm = float(row @ row)
-        if norm:
-            z[own] += max(n, 1) * np.outer(row, row @ random[own]) / norm
-    return idf, singular_vectors(z, random, rank) * idf[:, None]
+class Latent:
+    """Terms, idf and singular vectors, fitted on the passages of all documents for the whole benchmark."""
+
+    def __init__(self, rows: DataFrame, benchmark: DataFrame, block_passages: int, rank: int = RANK):
+        used = np.zeros(NUMBERS, bool)
+        for block in blocks_of(benchmark, block_passages):
+            for _, _, ids in block.passages:
+                used[ids] = True
+        n_terms = int(used.sum())
+        self.places = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)
+        df, n = document_frequencies(rows, self.places, n_terms)
+        idf = np.log((n + 1) / (df + 1)) + 0.1
+        common = df > MAX_DF * max(n, 1)
+        for block in blocks_of(benchmark, block_passages):
+            for _, _, ids in block.passages:
+                own = np.unique(self.places[ids])
+                if (~common[own]).sum() < MIN_TERMS:
+                    common[own] = False
+        self.idf = np.where(common, 0.0, idf)
+        rank = min(rank, n_terms)
+        random = np.random.default_rng(SEED).standard_normal((n_terms, min(n_terms, rank + OVERSAMPLE)))
+        self.vectors = singular_vectors(sample_range(rows, self.places, self.idf, random), random, rank) if n_terms else random
 
 
 def lcs(item: list[bytes], region: list[bytes]) -> int:
@@ -278,15 +308,30 @@ def verify(item: list[bytes], words: list[bytes], first: int, last: int) -> tupl
 
 
 class Searcher:
-    """Finds the leaks of one block in documents whose terms are numbered."""
+    """Finds the leaks of one block in documents as numbers."""
 
-    def __init__(self, block: Block, space: np.ndarray, telling: np.ndarray, cosine: float):
-        self.block, self.space, self.telling, self.cosine = block, space.astype(np.float32), telling, cosine
+    def __init__(self, block: Block, latent: Latent, cosine: float, latent_weight: float = LATENT, update: bool = True):
+        self.block, self.cosine = block, cosine
         # short passages first, so that the passages of a window size are one slice of the products
         self.passages = sorted(block.passages, key=lambda p: len(p[2]) > SHORT_CHUNK)
-        latent = np.stack([self.space[ids].sum(axis=0) for _, _, ids in self.passages])
-        self.own = np.maximum(np.linalg.norm(latent, axis=1), 1e-9).astype(np.float32)
-        self.products = self.space @ (latent / self.own[:, None]).T
+        used = np.unique(np.concatenate([ids for _, _, ids in self.passages]))
+        self.places = np.full(NUMBERS, -1, np.int32)
+        self.places[used] = np.arange(len(used), dtype=np.int32)
+        idf, basis = latent.idf[latent.places[used]], latent.vectors[latent.places[used]]
+        rows = np.zeros((len(self.passages), len(used)))
+        for row, (_, _, ids) in zip(rows, self.passages):
+            np.add.at(row, self.places[ids], 1.0)
+        rows *= idf
+        # the vectors' coordinates outside the block's terms cannot meet a passage, so residuals are taken inside them
+        inside, _ = np.linalg.qr(basis) if basis.shape[1] <= len(used) else (np.eye(len(used)), None)
+        residual = rows - (rows @ inside) @ inside.T
+        _, values, added = np.linalg.svd(residual, full_matrices=False)
+        added = added[values > 1e-6 * max(float(np.linalg.norm(rows)), 1e-30)] if update else added[:0]
+        self.space = np.hstack([latent_weight * inside, added.T]).astype(np.float32) * idf[:, None].astype(np.float32)
+        self.telling = idf > 0
+        embedded = np.stack([self.space[self.places[ids]].sum(axis=0) for _, _, ids in self.passages])
+        self.own = np.maximum(np.linalg.norm(embedded, axis=1), 1e-9).astype(np.float32)
+        self.products = self.space @ (embedded / self.own[:, None]).T
         n_short = sum(len(ids) <= SHORT_CHUNK for _, _, ids in self.passages)
         sizes = (SHORT_UNITS, slice(0, n_short)), (PASSAGE_UNITS, slice(n_short, len(self.passages)))
         self.sizes = [(units, own) for units, own in sizes if own.stop > own.start]
@@ -297,7 +342,7 @@ class Searcher:
         held: list[np.ndarray] = []
         n = 0
         for r in range(len(texts)):
-            ids = np.frombuffer(numbers[r].as_py(), NUMBER)
+            ids = self.places[np.frombuffer(numbers[r].as_py(), NUMBER)]
             if len(ids):
                 rows.append(r)
                 held.append(ids)
@@ -363,50 +408,55 @@ def _places(windows: list[tuple[float, int, int, int, int]]) -> list[tuple[int,
     return out
 
 
-def _searcher(numbered: DataFrame, block: Block, cosine: float):
-    """A broadcast Searcher, fitted on all documents; its size depends on the block alone."""
-    idf, space = latent_space(numbered, block)
-    return numbered.sparkSession.sparkContext.broadcast(Searcher(block, space, idf > 0, cosine))
+def _passes(rows: DataFrame, benchmark: DataFrame, cosine: float, block_passages: int, blocks: int):
+    """Broadcast lists of Searchers, ``blocks`` at a time, fitted on all documents. Their size depends on the bounds of a block."""
+    latent = Latent(rows, benchmark, block_passages)
+    held: list[Searcher] = []
+    for block in blocks_of(benchmark, block_passages):
+        held.append(Searcher(block, latent, cosine))
+        if len(held) == blocks:
+            yield rows.sparkSession.sparkContext.broadcast(held)
+            held = []
+    if held:
+        yield rows.sparkSession.sparkContext.broadcast(held)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block_passages: int = BLOCK_PASSAGES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block_passages: int = BLOCK_PASSAGES, blocks: int = BLOCKS) -> DataFrame:
     """One row per document and benchmark item that the document leaks: doc_id, item_id, cosine, lcs, answer_found."""
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
     names = ["doc_id", "item_id", "cosine", "lcs", "answer_found"]
+    rows = numbered(docs, "doc_id")
     out = None
-    for block in blocks_of(benchmark, block_passages):
-        if not block.items:
-            continue
-        rows, name = with_terms(docs.select("doc_id", "text"), block)
-        shared = _searcher(rows.select(name), block, cosine)
+    for shared in _passes(rows, benchmark, cosine, block_passages, blocks):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if found := list(shared.value.leaks(batch.column(1), batch.column(2))):
+                if found := [leak for searcher in shared.value for leak in searcher.leaks(batch.column(1), batch.column(2))]:
                     row, *rest = (list(c) for c in zip(*found))
                     columns = [batch.column(0).take(pa.array(row)), *rest]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-        found = rows.select("doc_id", "text", name).mapInArrow(run, LEAKS)
+        found = rows.mapInArrow(run, LEAKS)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block_passages: int = BLOCK_PASSAGES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block_passages: int = BLOCK_PASSAGES, blocks: int = BLOCKS) -> DataFrame:
     """The rows of ``docs`` that leak no item, with their columns; texts are not shuffled."""
     at = docs.columns.index("text")
-    for block in blocks_of(benchmark, block_passages):
-        if not block.items:
-            continue
-        rows, name = with_terms(docs, block)
-        shared = _searcher(rows.select(name), block, cosine)
+    order = [*docs.columns[:at], *docs.columns[at + 1 :]]
+    rows = numbered(docs, *order)
+    kept, n = rows, 0
+    for shared in _passes(rows, benchmark, cosine, block_passages, blocks):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                last = batch.num_columns - 1
                 stays = np.ones(batch.num_rows, bool)
-                stays[[leak[0] for leak in shared.value.leaks(batch.column(at), batch.column(last))]] = False
-                yield batch.filter(pa.array(stays)).select(range(last))
-
-        docs = rows.mapInArrow(run, docs.schema)
-    return docs
+                for searcher in shared.value:
+                    stays[[leak[0] for leak in searcher.leaks(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1))]] = False
+                yield batch.filter(pa.array(stays))
+
+        # what a pass keeps is written before the next one, so that a task holds the blocks of one pass
+        kept = (materialize(kept, "clean") if n else kept).mapInArrow(run, rows.schema)
+        n += 1
+    return kept.drop("numbers").toDF(*order, "text").select(*[F.col(quoted(c)) for c in docs.columns])

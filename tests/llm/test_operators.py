@@ -90,11 +90,32 @@ def test_decontamination_finds_exact_cut_and_paraphrased_passages(spark, sf):
     assert len(got & want) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("share, recall", [(0.2, 0.98), (0.3, 0.97), (0.4, 0.95), (0.6, 0.0)])
+def test_decontamination_of_replaced_words(spark, sf, share, recall):
+    """Items with a share of their words replaced by words of the corpus, inside real documents."""
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    hosts = [t for t in (r.text.split() for r in docs.orderBy("doc_id").collect()) if len(t) > 200]
+    words = [w for t in hosts for w in t]
+    rng = np.random.default_rng(8)
+    planted = []
+    for n, r in enumerate(bench.orderBy("item_id").collect()):
+        item, host = r.text.split(), hosts[n % len(hosts)]
+        for at in rng.choice(len(item), round(len(item) * share), replace=False):
+            item[at] = words[rng.integers(len(words))]
+        planted.append((-1 - r.item_id, " ".join([*host[: 90 + n % 30], *item, *host[90 + n % 30 :]])))
+    both = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(both, bench).filter("doc_id < 0").collect()}
+    found = sum((d, -1 - d) in got for d, _ in planted) / len(planted)
+    assert found >= recall if recall else found < 0.3
+
+
 def test_decontamination_blocks_and_clean_agree(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
-    parts = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, block_passages=7).collect()}
+    parts = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, block_passages=7, blocks=3).collect()}
     assert whole and whole == parts
+    assert {r.doc_id for r in decontamination.clean(docs, bench, block_passages=7, blocks=20).collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in whole}
     words = {r.item_id: b" ".join(decontamination.bare_words(r.text)) for r in bench.collect()}
     brute = {(r.doc_id, i) for r in docs.collect() for i, w in words.items() if b" " + w + b" " in b" " + b" ".join(decontamination.bare_words(r.text)) + b" "}
     assert brute <= whole
