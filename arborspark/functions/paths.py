@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def canonical(name: Column) -> Column:
     """Collapse runs of slashes and strip trailing ones; a leading slash stays."""
-    return F.rtrim(F.regexp_replace(name, "/+", "/"), F.lit("/"))
+    return F.rtrim(F.when(name.contains("//"), F.regexp_replace(name, "/+", "/")).otherwise(name), F.lit("/"))
 
 
 def is_dirty(name: Column) -> Column:
@@ -19,11 +19,11 @@ def is_dirty(name: Column) -> Column:
 
 def parent(path: Column) -> Column:
     """Text before the last slash, else the root."""
-    return F.regexp_extract(path, "^(.*)/[^/]+$", 1)
+    return F.when(path.contains("/"), F.left(path, F.length(path) - F.length(basename(path)) - 1)).otherwise(F.when(path.isNotNull(), ""))
 
 
 def basename(path: Column) -> Column:
-    return F.regexp_extract(path, "[^/]+$", 0)
+    return F.substring_index(path, "/", -1)
 
 
 def depth(path: Column) -> Column:

@@ -8,18 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Storage classes by id (fixed values): 1 standard, 2 nearline, 3 coldline, 4 archive; 0 is unknown.
-GCS_CLASSES = {"STANDARD": 1, "REGIONAL": 1, "MULTI_REGIONAL": 1, "NEARLINE": 2, "COLDLINE": 3, "ARCHIVE": 4}
+GCS_CLASSES = {"STANDARD": 1, "NEARLINE": 2, "COLDLINE": 3, "ARCHIVE": 4}
 S3_CLASSES = {
-    "STANDARD": 1, "INTELLIGENT_TIERING": 1, "REDUCED_REDUNDANCY": 1, "STANDARD_IA": 2, "ONEZONE_IA": 2, "GLACIER_IR": 3, "GLACIER": 4,
-    "DEEP_ARCHIVE": 4,
-}
-#: Access operations by HTTP method and by logged operation (fixed values).
-METHOD_OPS = {"GET": "GET", "HEAD": "HEAD", "PUT": "PUT", "POST": "PUT", "DELETE": "DELETE"}
-LOGGED_OPS = {
-    "storage.objects.get": "GET", "storage.objects.list": "LIST", "storage.buckets.list": "LIST", "storage.objects.create": "PUT",
-    "storage.objects.insert": "PUT", "storage.objects.delete": "DELETE", "storage.objects.compose": "COMPOSE", "storage.objects.rewrite": "COPY",
-    "storage.objects.copy": "COPY", "GET_Object": "GET", "GET_Bucket": "LIST", "PUT_Object": "PUT", "DELETE_Object": "DELETE", "HEAD_Object": "HEAD",
+    "STANDARD": 1, "REDUCED_REDUNDANCY": 1, "INTELLIGENT_TIERING": 1, "OUTPOSTS": 1, "STANDARD_IA": 2, "ONEZONE_IA": 2, "GLACIER_IR": 3,
+    "GLACIER_INSTANT_RETRIEVAL": 3, "GLACIER": 4, "DEEP_ARCHIVE": 4,
 }
+#: How a run name's hash and resume mark look (fixed values).
+HASH, RESUME = "-[0-9a-f]{6,8}$", r"[_-]resume\d+.*$"
 
 
 def lookup(values: dict, key: Column) -> Column:
@@ -34,20 +29,28 @@ def sanitize_username(raw: Column) -> Column:
     return F.when(raw.isNull(), None).when(name == "", F.raise_error(F.concat(F.lit("empty user name: "), raw))).otherwise(name)
 
 
-def stem(name: Column) -> Column:
-    """A run name without its hash, resume suffix and trailing marks."""
-    bare = F.regexp_replace(name, "_resume[0-9].*$", "")
-    bare = F.regexp_replace(bare, "-[0-9a-f]{6,8}$", "")
-    return F.regexp_replace(bare, "[_-]+$", "")
+def without_hash(name: Column) -> Column:
+    return F.regexp_replace(name, HASH, "")
 
 
-def without_hash(name: Column) -> Column:
-    return F.regexp_replace(name, "-[0-9a-f]{6,8}$", "")
+def stem(name: Column) -> Column:
+    """A run name without its hash, then without its resume mark, then without trailing marks."""
+    return F.rtrim(F.regexp_replace(without_hash(name), RESUME, ""), F.lit("_-"))
 
 
 def normalize_op(method: Column, operation: Column) -> Column:
-    """The logged operation's name, else the method's, else OTHER; case-sensitive."""
-    return F.coalesce(lookup(LOGGED_OPS, operation), lookup(METHOD_OPS, method), F.lit("OTHER"))
+    """LIST, GET, PUT, HEAD, DELETE or OTHER, case-sensitive. The logged operation's first word tells, and ``..._BUCKET`` is a listing; the
+    method speaks where the operation has not by its turn. Of POST operations only two write an object."""
+    logged = F.coalesce(operation, F.lit(""))
+
+    def is_(verb: str) -> Column:
+        return logged.startswith(verb) | F.coalesce(method == verb, F.lit(False))
+
+    lists = logged.startswith("LIST") | (logged.endswith("BUCKET") & (F.length(logged) > len("BUCKET")))
+    return (
+        F.when(lists, "LIST").when(is_("GET"), "GET").when(is_("PUT") | logged.isin("POST_Object", "POST_Uploads"), "PUT")
+        .when(is_("HEAD"), "HEAD").when(is_("DELETE"), "DELETE").otherwise("OTHER")
+    )
 
 
 def glob_regex(pattern: str) -> str:
@@ -88,3 +91,29 @@ def epoch_seconds(ts: Column) -> Column:
 
 def epoch_day(ts: Column) -> Column:
     return F.floor(epoch_seconds(ts) / 86400).cast("int")
+
+
+def round_day(seconds: Column) -> Column:
+    """The nearest epoch day; halves go to the even one."""
+    return F.rint(seconds / 86400).cast("int")
+
+
+def day_text(seconds: Column, pattern: str = "yyyy-MM-dd") -> Column:
+    """Epoch seconds as text, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(seconds), pattern)
+
+
+def encode_scan(scan: Column) -> Column:
+    """``2026-08-17T1944`` as ``260817-1944``, ``2026-08-17`` as ``260817``; anything else stays."""
+    shape = r"^\d{2}(\d{2})-(\d{2})-(\d{2})(?:T(\d{2})(\d{2}))?$"
+    part = lambda k: F.regexp_extract(scan, shape, k)
+    time = F.when(part(4) != "", F.concat(F.lit("-"), part(4), part(5))).otherwise("")
+    return F.when(scan.rlike(shape), F.concat(part(1), part(2), part(3), time)).otherwise(scan)
+
+
+def decode_scan(code: Column) -> Column:
+    """The scan id, or the start of scan ids, that a code stands for; null for what is no code."""
+    shape = r"^(\d{2})(\d{2})(\d{2})(?:-(\d{2})(\d{2})?)?$"
+    part = lambda k: F.regexp_extract(code, shape, k)
+    time = F.when(part(4) != "", F.concat(F.lit("T"), part(4), part(5))).otherwise("")
+    return F.when(code.rlike(shape), F.concat(F.lit("20"), part(1), F.lit("-"), part(2), F.lit("-"), part(3), time))

@@ -57,3 +57,9 @@ def hot_prefixes(tree: DataFrame, depth: int | None = None, op: str | None = Non
         F.sum("n_ops").alias("n_ops"), F.sum("bytes_out").alias("bytes_out"), F.sum("bytes_in").alias("bytes_in"), F.max("n_requesters").alias("n_requesters")
     )
     return sums.orderBy(F.col(sort_by).desc(), "path", "op").limit(limit)
+
+
+def write_layer(tree: DataFrame, out: str) -> None:
+    """The access tree as Parquet, dealt by range of and sorted by depth, path, day and operation."""
+    keys = ["depth", "path", "day", "op"]
+    tree.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(out)

@@ -149,33 +149,49 @@ def record_owners(records: DataFrame) -> DataFrame:
 
 
 def run_names(runs: DataFrame) -> DataFrame:
-    """name, user of the runs at each level of exactness: rank 1 whole name, 2 without hash, 3 stem. Names of several users are dropped."""
-    levels = [(1, F.col("name")), (2, without_hash(F.col("name"))), (3, stem(F.col("name")))]
-    rows = None
-    for rank, key in levels:
-        part = runs.select(F.lit(rank).alias("rank"), key.alias("key"), "user").filter("key <> ''")
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("rank", "key").agg(F.count_distinct("user").alias("n"), F.min("user").alias("user")).filter("n = 1").drop("n")
-
-
-def match_runs(leaves: DataFrame, runs: DataFrame, least: int = 16, block: int = 12) -> DataFrame:
-    """leaf, user, stage: run directories to run owners. Whole name first, then without hash, then stem, then stems of which one is the
-    other's start in at least ``least`` characters, compared within blocks of equal first characters. The best stage wins; in
-    the last the longest stem, if it has one user."""
+    """name, n_users, user (the smallest) of every run name; nameless runs and runs without a user go."""
+    rows = runs.filter("name <> '' AND user <> ''")
+    return rows.groupBy("name").agg(F.count_distinct("user").alias("n_users"), F.min("user").alias("user"))
+
+
+def match_runs(leaves: DataFrame, runs: DataFrame, least: int = 16, block: int = 12, ambiguous: bool = False) -> DataFrame:
+    """leaf, user, stage: run directories to run owners. The directory's name, then the name without its hash, then its stem is looked up among
+    run names; at last run names are taken whose stem starts the directory's or is started by it, with at least ``least`` characters in
+    common, compared within blocks of equal first characters, the longest stem first and the smallest name among equals. The first hit
+    decides; if it has several users the directory has no owner (with ``ambiguous`` such rows stay, their user null)."""
     index = run_names(runs)
     own = leaves.select("leaf").distinct()
-    keys = own.select("leaf", F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), k.alias("key")) for r, k in ((1, F.col("leaf")), (2, without_hash(F.col("leaf"))), (3, stem(F.col("leaf"))))])).alias("k"))
-    exact = keys.select("leaf", "k.rank", "k.key").join(index, ["rank", "key"]).select("leaf", F.col("rank").alias("stage"), "user", F.lit(0).alias("n"))
-    stems = index.filter("rank = 3").select(F.col("key").alias("other"), "user", F.substring("key", 1, block).alias("b")).filter(F.length("other") >= least)
+    tries = [F.col("leaf"), without_hash(F.col("leaf")), stem(F.col("leaf"))]
+    asked = own.select("leaf", F.posexplode(F.array(*tries)).alias("stage", "name"))
+    none, zero = F.lit(""), F.lit(0)
+    exact = asked.join(index, "name").select("leaf", (F.col("stage") + 1).alias("stage"), zero.alias("n"), none.alias("name"), "n_users", "user")
+    stems = index.select("name", "n_users", "user", stem(F.col("name")).alias("other"), F.substring("name", 1, block).alias("b")).filter(F.length("other") >= least)
     mine = own.select("leaf", stem(F.col("leaf")).alias("s")).filter(F.length("s") >= least).withColumn("b", F.substring("s", 1, block))
     near = mine.join(stems, "b").filter(F.col("s").startswith(F.col("other")) | F.col("other").startswith(F.col("s")))
-    overlap = near.select("leaf", F.lit(4).alias("stage"), "user", F.least(F.length("s"), F.length("other")).alias("n"))
-    best = exact.unionByName(overlap).groupBy("leaf", "stage", "n").agg(F.count_distinct("user").alias("u"), F.min("user").alias("user"))
-    w = Window.partitionBy("leaf").orderBy("stage", F.col("n").desc())
-    return best.withColumn("_r", F.row_number().over(w)).filter("_r = 1 AND u = 1").select("leaf", "user", "stage")
-
-
-def writer_paths(runs: DataFrame, pattern: str = r"(?i)(output|save|ckpt|checkpoint|export|write)") -> DataFrame:
+    overlap = near.select("leaf", F.lit(4).alias("stage"), (-F.length("other")).alias("n"), "name", "n_users", "user")
+    best = exact.unionByName(overlap).groupBy("leaf").agg(F.min(F.struct("stage", "n", "name", "n_users", "user")).alias("w"))
+    found = best.select("leaf", F.when(F.col("w.n_users") == 1, F.col("w.user")).alias("user"), "w.stage")
+    return found if ambiguous else found.filter("user IS NOT NULL")
+
+
+def sidecar_owners(sidecars: DataFrame, runs: DataFrame) -> DataFrame:
+    """prefix, user from step sidecars (path, name, output_path) and runs: the last component of the step's name is matched first, then the
+    name of the sidecar's own directory; the first that matches decides. The prefix is the output path if that is in a store, else
+    the directory; of several sidecars of one prefix the smallest path wins."""
+    base = paths.parent(F.col("path"))
+    tail = F.when(F.col("name") != "", paths.basename(F.col("name")))
+    rows = sidecars.select("path", tail.alias("tail"), paths.basename(base).alias("dir"), base.alias("base"), "output_path")
+    asked = rows.select(F.explode(F.array_compact(F.array("tail", "dir"))).alias("leaf"))
+    found = match_runs(asked, runs, ambiguous=True)
+    by = lambda c: found.select(F.col("leaf").alias(c), F.col("user").alias(f"user_{c}"), F.lit(True).alias(f"hit_{c}"))
+    joined = rows.join(by("tail"), "tail", "left").join(by("dir"), "dir", "left")
+    user = F.when(F.col("hit_tail"), F.col("user_tail")).otherwise(F.col("user_dir"))
+    out = F.when(F.col("output_path").startswith("gs://"), F.rtrim("output_path", F.lit("/"))).otherwise(F.col("base"))
+    hits = joined.select(F.concat(out, F.lit("/")).alias("prefix"), user.alias("user"), "path").filter("user IS NOT NULL")
+    return hits.groupBy("prefix").agg(F.min_by("user", "path").alias("user"))
+
+
+def writer_paths(runs: DataFrame, pattern: str = r"(?i)(^|_)(output|save|run_dir|artifact_dir|out_dir|store|base_path)") -> DataFrame:
     """prefix, user from run configurations (user, gs_paths as JSON pairs of key and path): writing keys only, prefixes of one user only."""
     pairs = runs.select("user", F.explode(F.from_json("gs_paths", "array<array<string>>")).alias("p"))
     rows = pairs.select("user", F.element_at("p", 1).alias("key"), F.rtrim(F.element_at("p", 2), F.lit("/")).alias("prefix")).filter(F.col("key").rlike(pattern))

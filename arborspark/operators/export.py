@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arborspark.functions import paths
 from arborspark.functions.text import epoch_day, epoch_seconds
 from arborspark.operators.attribution import dir_of
+from arborspark.scratch import ranked
 
 #: List price per GiB and month by storage class (fixed values).
 PRICES = {0: 0.020, 1: 0.020, 2: 0.010, 3: 0.004, 4: 0.0012}
@@ -18,21 +19,21 @@ FOLD_BYTES = 20_000_000_000
 GIB = 1 << 30
 
 
-def dir_detail(listing: DataFrame) -> DataFrame:
-    """bucket, dir: bytes, objects, the exact sum of size times day, dated bytes, and bytes of classes 2, 3 and 4."""
-    size, day = F.coalesce("size_bytes", F.lit(0)), epoch_day(F.col("created"))
+def dir_detail(listing: DataFrame, owners: Sequence[str] = ()) -> DataFrame:
+    """bucket, dir: bytes, objects, the exact sum of size times epoch second, dated bytes, and bytes of classes 2, 3 and 4."""
+    size, at = F.coalesce("size_bytes", F.lit(0)), epoch_seconds(F.col("created"))
     of = lambda k: F.sum(F.when(F.col("storage_class_id") == k, size).otherwise(0)).alias(f"class{k}_bytes")
-    return listing.groupBy("bucket", dir_of(F.col("name")).alias("dir")).agg(
+    return listing.groupBy("bucket", dir_of(F.col("name")).alias("dir"), *owners).agg(
         F.sum(size).alias("bytes"), F.count("*").alias("objects"),
-        F.sum(F.when(day.isNotNull(), size.cast("decimal(19,0)") * day.cast("decimal(10,0)")).otherwise(0).cast("decimal(38,0)")).alias("day_bytes"),
-        F.sum(F.when(day.isNotNull(), size).otherwise(0)).alias("dated_bytes"), of(2), of(3), of(4),
+        F.sum(F.when(at.isNotNull(), size.cast("decimal(19,0)") * at.cast("decimal(12,0)")).otherwise(0).cast("decimal(38,0)")).alias("second_bytes"),
+        F.sum(F.when(at.isNotNull(), size).otherwise(0)).alias("dated_bytes"), of(2), of(3), of(4),
     )
 
 
 def level_rows(dirs: DataFrame, levels: int = 4, owners: Sequence[str] = ()) -> DataFrame:
     """Sums per bucket and d1..d<levels> (``''`` beyond a directory's depth) and owner columns."""
     named = dirs.select("*", *[paths.component(F.col("dir"), k).alias(f"d{k}") for k in range(1, levels + 1)])
-    sums = [c for c in ("bytes", "objects", "day_bytes", "dated_bytes", "class2_bytes", "class3_bytes", "class4_bytes") if c in dirs.columns]
+    sums = [c for c in ("bytes", "objects", "second_bytes", "dated_bytes", "class2_bytes", "class3_bytes", "class4_bytes") if c in dirs.columns]
     return named.groupBy("bucket", *[f"d{k}" for k in range(1, levels + 1)], *owners).agg(*[F.sum(c).alias(c) for c in sums])
 
 
@@ -100,10 +101,13 @@ def best_unit(first_day: int, last_day: int, bars: int = 30) -> str:
 
 
 def top_users(owned_nodes: DataFrame, k: int = 5) -> DataFrame:
-    """path, users: the leading users of a node as an array of (bytes, user). Only k survive per node and task before the shuffle."""
+    """path, user, bytes, rank: the leading users of a node. A node's users are ranked in as many places as the hash of their names says, and only
+    ``k`` of each place meet in the last window."""
     sums = owned_nodes.filter("user IS NOT NULL").groupBy("path", "user").agg(F.sum("bytes").alias("bytes"))
-    w = Window.partitionBy("path").orderBy(F.col("bytes").desc(), "user")
-    best = sums.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    order = [F.col("bytes").desc(), F.col("user")]
+    place = F.pmod(F.xxhash64("user"), F.lit(64))
+    first = sums.withColumn("rank", F.row_number().over(Window.partitionBy("path", place).orderBy(*order))).filter(F.col("rank") <= k)
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(*order))).filter(F.col("rank") <= k)
     return best.select("path", "user", "bytes", "rank")
 
 
@@ -175,12 +179,13 @@ def meta(listing: DataFrame) -> DataFrame:
 
 
 def user_ranks(owned: DataFrame) -> DataFrame:
-    """user, team, bytes, rank overall, rank in the team, team_size. One row per user, so the windows see users, not objects."""
+    """user, team, bytes, rank overall, rank in the team, team_size. The overall rank is made by ranges of users."""
     sums = owned.filter("user IS NOT NULL").groupBy("user", "team").agg(F.sum("bytes").alias("bytes"))
     order = [F.col("bytes").desc(), F.col("user")]
+    sums = ranked(sums, *order).withColumn("rank", (F.col("rank") + 1).cast("int"))
     return sums.withColumns(
         {
-            "rank": F.row_number().over(Window.orderBy(*order)), "team_rank": F.row_number().over(Window.partitionBy("team").orderBy(*order)),
+            "team_rank": F.row_number().over(Window.partitionBy("team").orderBy(*order)),
             "team_size": F.count("*").over(Window.partitionBy("team")),
         }
     )
@@ -228,3 +233,45 @@ def treemap(tree: DataFrame) -> DataFrame:
         return group[["parent", "path", "x", "y", "w", "h"]]
 
     return tree.select("parent", "path", "bytes").groupBy("parent").applyInPandas(layout, "parent string, path string, x double, y double, w double, h double")
+
+
+def node_shares(levels: DataFrame, key: str, depth: int = 4) -> DataFrame:
+    """path, ``key``, bytes, share: what each value of an owner column (or class, or date) holds of every node of level rows."""
+    rows = None
+    for k in range(depth + 1):
+        part = levels if k == 0 else levels.filter(F.col(f"d{k}") != "")
+        keys = ["bucket", *[f"d{j}" for j in range(1, k + 1)]]
+        one = part.groupBy(F.concat_ws("/", *keys).alias("path"), key).agg(F.sum("bytes").alias("bytes"))
+        rows = one if rows is None else rows.unionByName(one)
+    total = rows.groupBy("path").agg(F.sum("bytes").alias("_total"))
+    share = F.when(F.col("_total") != 0, F.col("bytes").cast("double") / F.col("_total").cast("double"))
+    return rows.join(total, "path").select("path", key, "bytes", share.alias("share"))
+
+
+def rollup_bar(shares: DataFrame, key: str, least: float = 0.001) -> DataFrame:
+    """path, name, bytes: the values of ``key`` with at least that share of a node; the smaller ones and rows without a value are ``other``."""
+    name = F.when((F.col("share") >= least) & F.col(key).isNotNull(), F.col(key)).otherwise("other")
+    return shares.groupBy("path", name.alias("name")).agg(F.sum("bytes").alias("bytes"))
+
+
+def category_order(levels: DataFrame) -> DataFrame:
+    """d1, bytes of every top directory over all buckets, most bytes first."""
+    return levels.filter("d1 <> ''").groupBy("d1").agg(F.sum("bytes").alias("bytes")).orderBy(F.col("bytes").desc(), "d1")
+
+
+def child_ranks(tree: DataFrame) -> DataFrame:
+    """path, parent, bytes, rank of a node among its parent's children, most bytes first."""
+    w = Window.partitionBy("parent").orderBy(F.col("bytes").desc(), "path")
+    return tree.filter("depth > 0").select("path", "parent", "bytes", F.row_number().over(w).alias("rank"))
+
+
+def signed_tiles(compared: DataFrame) -> DataFrame:
+    """path, delta, weight, sign of a comparison's rows, in order of weight: tiles are as large as the change, whatever its sign."""
+    weight = F.abs("bytes_delta")
+    rows = compared.select("path", F.col("bytes_delta").alias("delta"), weight.alias("weight"), F.signum("bytes_delta").cast("int").alias("sign"))
+    return rows.filter("weight > 0").orderBy(F.col("weight").desc(), "path")
+
+
+def in_total_order(rows: DataFrame) -> DataFrame:
+    """Rows ordered by all their columns, nulls last, so that files of them can be compared."""
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in rows.columns])

@@ -64,18 +64,19 @@ def directories(files: DataFrame, pivots: dict[str, list] | None = None, mean_mt
     up = leaf.select("*", F.explode(paths.self_and_ancestors(F.col("at"))).alias("dir"))
     up = up.withColumn("direct", F.when(F.col("dir") == F.col("at"), F.col("n_files")).otherwise(0))
     dirs = up.groupBy("bucket", "dir").agg(*[c.alias(n) for n, c in again.items()])
-    below = (
-        dirs.filter("dir <> ''")
-        .select("bucket", F.col("dir").alias("_d"), F.explode(paths.ancestors(F.col("dir"))).alias("dir"))
-        .groupBy("bucket", "dir")
-        .agg(F.count("*").alias("n_sub"), F.sum((paths.parent(F.col("_d")) == F.col("dir")).cast("long")).alias("kids"))
-    )
+    # each directory's sums stay with it, and it counts once for every directory above, all from one read of ``dirs``
     names = [n for n in again if n not in ("direct", "mtime")]
-    whole = (
-        dirs.unionByName(below, allowMissingColumns=True)
-        .groupBy("bucket", "dir")
-        .agg(*[F.max("mtime").alias("mtime")], *[F.sum(n).alias(n) for n in [*names, "direct", "n_sub", "kids"]])
+    kinds = {f.name: f.dataType for f in dirs.schema.fields}
+    sums_of = [*names, "direct", "mtime"]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    own = F.struct(F.col("dir").alias("dir"), *[F.col(n).alias(n) for n in sums_of], none.alias("n_sub"), none.alias("kids"))
+    at = paths.parent(F.col("dir"))
+    of_above = F.transform(
+        paths.ancestors(F.col("dir")),
+        lambda a: F.struct(a.alias("dir"), *[F.lit(None).cast(kinds[n]).alias(n) for n in sums_of], one.alias("n_sub"), F.when(a == at, one).otherwise(none).alias("kids")),
     )
+    spread = dirs.select("bucket", F.inline(F.concat(F.array(own), of_above)))
+    whole = spread.groupBy("bucket", "dir").agg(F.max("mtime").alias("mtime"), *[F.sum(n).alias(n) for n in [*names, "direct", "n_sub", "kids"]])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return whole.select(
         "bucket", "dir", "size", F.greatest("mtime", F.lit(0)).cast("long").alias("mtime"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborspark.functions import paths
@@ -39,9 +39,32 @@ def view(tree: DataFrame, top: str) -> DataFrame:
     return rows.withColumns({"path": rel, "parent": up, "depth": F.col("depth") - base})
 
 
+def key_range(listing: DataFrame, low: str | None = None, high: str | None = None) -> DataFrame:
+    """Rows with low <= name < high; None is open."""
+    rows = listing if low is None else listing.filter(F.col("name") >= low)
+    return rows if high is None else rows.filter(F.col("name") < high)
+
+
+def monotonic_runs(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """``rows`` with the number of their run, from 0: in ``order`` inside ``by`` a new run begins where ``value`` falls. A diagnosis of files that should
+    be sorted: ``by`` is the file."""
+    w = Window.partitionBy(by).orderBy(order)
+    falls = (F.col(value) < F.lag(value).over(w)).cast("int")
+    return rows.withColumn("_falls", F.coalesce(falls, F.lit(0))).withColumn("run", F.sum("_falls").over(w)).drop("_falls")
+
+
+def maximal_matches(tree: DataFrame, pattern: str) -> DataFrame:
+    """bucket, path, size of the directories whose name matches a regular expression and that lie in no other such directory."""
+    hits = tree.filter((F.col("kind") == "dir") & (F.col("path") != ".") & paths.basename(F.col("path")).rlike(pattern)).select("bucket", "path", "size")
+    above = hits.select("bucket", "path", F.explode(paths.ancestors(F.col("path"))).alias("up"))
+    inside = above.join(hits.select("bucket", F.col("path").alias("up")), ["bucket", "up"]).select("bucket", "path").distinct()
+    return hits.join(inside, ["bucket", "path"], "left_anti")
+
+
 def drill(tree: DataFrame, top: str = ".", depth: int = 2, max_rows: int = 2000) -> DataFrame:
     """The view down to ``depth`` levels, cut to its ``max_rows`` largest rows plus everything above them. The limit is the view's page size."""
-    rows = view(tree, top).filter(F.col("depth") <= depth)
+    base = 0 if top in ("", ".") else top.count("/") + 1
+    rows = view(at_depth(tree, high=base + depth), top)
     largest = rows.orderBy(F.col("size").desc(), "path", "kind").limit(max_rows)
     kept = largest.select("path", "kind")
     above = largest.select(F.explode(paths.self_and_ancestors(F.col("path"))).alias("p")).select(F.when(F.col("p") == "", ".").otherwise(F.col("p")).alias("path"))
@@ -49,7 +72,7 @@ def drill(tree: DataFrame, top: str = ".", depth: int = 2, max_rows: int = 2000)
     return rows.join(closure, ["path", "kind"], "left_semi")
 
 
-def single_chains(tree: DataFrame, max_depth: int = 64) -> DataFrame:
+def single_chains(tree: DataFrame) -> DataFrame:
     """path, end, n_collapsed: for directories with one child, that is a directory, the last directory of the chain. Every directory
     finds the longest run of ancestors with a single child by one explode, not by walking the chain step by step."""
     dirs = tree.filter("kind = 'dir'").select("path", "n_children")

@@ -9,6 +9,7 @@ from arborspark.functions import paths, text
 from arborspark.operators import access, attribution, diff, export, planning, rollup, snapshots, tree_query
 from arborspark.plans import virtual as v
 from arborspark.plans.oracles import ORACLES
+from arborspark.scratch import scratch
 from arborspark.sources import listing
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -71,7 +72,7 @@ def path_ancestors(spark, sf):
 
 @query
 def path_rebase(spark, sf):
-    t = tree_query.subtree(v.tree(spark, sf).filter("bucket = 'A' AND depth <= 4"), "F/y1997").select("path", "kind")
+    t = tree_query.subtree(v.stored(spark, sf, "A"), "F/y1997").select("path", "kind")
     rel = paths.rebase(F.col("path"), "F/y1997")
     return t.select("path", "kind", rel.alias("rel"), paths.unbase(rel, "F/y1997").alias("again"))
 
@@ -98,64 +99,64 @@ def tree_rollup_mean_mtime(spark, sf):
 
 @query
 def tree_rollup_root(spark, sf):
-    return snapshots.root_stats(v.tree(spark, sf))
+    return snapshots.root_stats(v.stored(spark, sf))
 
 
 @query
 def children_at(spark, sf):
-    return tree_query.children(v.tree(spark, sf, bucket="A"), "F/y1997").select("path", "kind", "size", "n_desc", "n_children")
+    return tree_query.children(v.stored(spark, sf, "A"), "F/y1997").select("path", "kind", "size", "n_desc", "n_children")
 
 
 @query
 def children_at_root(spark, sf):
-    return tree_query.children(v.tree(spark, sf, bucket="A")).select("path", "kind", "size", "n_desc", "n_children")
+    return tree_query.children(v.stored(spark, sf, "A")).select("path", "kind", "size", "n_desc", "n_children")
 
 
 @query
 def drill_topk_closure(spark, sf):
-    return tree_query.drill(v.tree(spark, sf, bucket="A"), "O", depth=3, max_rows=40).select("path", "parent", "depth", "kind", "size")
+    return tree_query.drill(v.stored(spark, sf, "A"), "O", depth=3, max_rows=40).select("path", "parent", "depth", "kind", "size")
 
 
 @query
 def subtree_filter(spark, sf):
-    return tree_query.subtree(v.tree(spark, sf, bucket="N"), "O/y1998/m4").select("path", "kind", "size", "depth")
+    return tree_query.subtree(v.stored(spark, sf, "N"), "O/y1998/m4").select("path", "kind", "size", "depth")
 
 
 @query
 def depth_filter(spark, sf):
-    return tree_query.at_depth(v.tree(spark, sf), 1, 3).select("bucket", "path", "kind", "size", "depth")
+    return tree_query.at_depth(v.stored(spark, sf), 1, 3).select("bucket", "path", "kind", "size", "depth")
 
 
 @query
 def path_search(spark, sf):
-    return tree_query.search(v.tree(spark, sf), "Y1999/M7/O5").select("bucket", "path", "kind", "size")
+    return tree_query.search(v.stored(spark, sf), "Y1999/M7/O5").select("bucket", "path", "kind", "size")
 
 
 @query
 def expand_single(spark, sf):
-    return tree_query.single_chains(rollup.rollup(v.listing(spark, sf).filter("bucket = 'R' AND size_bytes >= 50176")))
+    return tree_query.single_chains(rollup.rollup(v.listing(spark, sf).filter("bucket = 'R'")))
 
 
 @query
 def path_stats(spark, sf):
-    t = tree_query.at_depth(v.tree(spark, sf), 3, 3)
+    t = tree_query.at_depth(v.stored(spark, sf), 3, 3)
     return t.filter("path = 'F/y1999/m12'").select("bucket", "path", "size", "mtime", "n_desc", "n_files", "n_children")
 
 
 @query
 def unaccounted(spark, sf):
-    shown = v.tree(spark, sf, bucket="A").filter("size >= 300000 AND depth <= 4")
-    return tree_query.unaccounted(shown, 100_000)
+    shown = v.stored(spark, sf, "A").filter("size >= 40000 AND depth <= 4")
+    return tree_query.unaccounted(shown, 10_000)
 
 
 @query
 def virtual_root(spark, sf):
-    return tree_query.virtual_root(tree_query.children(v.tree(spark, sf, bucket="N")))
+    return tree_query.virtual_root(tree_query.children(v.stored(spark, sf, "N")))
 
 
 @query
 def page_of_children(spark, sf):
-    return tree_query.page(tree_query.children(v.tree(spark, sf, bucket="A"), "F/y1997/m3"), 1, 10).select("path", "size")
+    return tree_query.page(tree_query.children(v.stored(spark, sf, "A"), "F/y1997/m3"), 1, 10).select("path", "size")
 
 
 def _reg(spark, sf):
@@ -213,7 +214,7 @@ def tree_compare(spark, sf):
 
 @query
 def delete_path(spark, sf):
-    t = v.tree(spark, sf, bucket="A").filter("depth <= 3")
+    t = v.stored(spark, sf, "A")
     return tree_query.delete(t, "F/y1997").select("path", "kind", "size", "n_desc", "n_files", "n_children")
 
 
@@ -309,8 +310,7 @@ def attr_claims(spark, sf):
 
 @query
 def attr_user_prefix(spark, sf):
-    rows = v.listing(spark, sf).withColumn("name", F.concat(F.lit("users/"), paths.component(paths.canonical(F.col("name")), 4), F.lit("/"), "name"))
-    return attribution.user_prefixes(rows)
+    return attribution.user_prefixes(_user_listing(spark, sf))
 
 
 @query
@@ -334,7 +334,7 @@ def writer_path_owner(spark, sf):
 
 @query
 def run_dirs(spark, sf):
-    return attribution.run_dirs(v.listing(spark, sf).filter("bucket = 'A'"))
+    return attribution.run_dirs(v.listing(spark, sf))
 
 
 @query
@@ -372,7 +372,7 @@ def _levels(spark, sf):
 
 @query
 def tree_levels(spark, sf):
-    return _levels(spark, sf).withColumn("day_bytes", F.col("day_bytes").cast("string"))
+    return _levels(spark, sf).withColumn("second_bytes", F.col("second_bytes").cast("string"))
 
 
 @query
@@ -489,7 +489,7 @@ def bin_pack(spark, sf):
 
 @query
 def nested_prefix_dedupe(spark, sf):
-    t = v.tree(spark, sf, bucket="A").filter("kind = 'dir' AND depth BETWEEN 1 AND 4 AND (depth = 4 OR n_files % 3 = 0)")
+    t = v.stored(spark, sf, "A").filter("kind = 'dir' AND path <> '.' AND mtime >= 850000000")
     return planning.nested_prefixes(t.select(F.concat("path", F.lit("/")).alias("prefix")))
 
 
@@ -504,6 +504,127 @@ def chunk_stats(spark, sf):
     return snapshots.chunk_stats(v.snapshot(spark, sf, "a"), 100)
 
 
+@query
+def chunk_stats_nested(spark, sf):
+    return snapshots.chunk_stats(v.snapshot(spark, sf, "a"), 100, nested=True)
+
+
+@query
+def index_load_or_create(spark, sf):
+    v.stored(spark, sf)
+    info = v.store(spark).scan_of(f"{sf}/lineitem")
+    return spark.createDataFrame([(info.size, info.n_children, info.n_desc, info.mtime)], "size long, n_children long, n_desc long, mtime long")
+
+
+@query
+def delete_registry_sync(spark, sf):
+    own = snapshots.Store(spark, scratch(spark, "store"))
+    own.save(v.stored(spark, sf, "A").drop("bucket"), 1, "gcs://A", "2026-01-01")
+    own.save(tree_query.view(v.stored(spark, sf, "A").drop("bucket"), "F/y1997"), 2, "gcs://A/F/y1997", "2025-01-01")
+    own.delete("gcs://A/F/y1997")
+    return own.registry().select("path", "size", "n_children", "n_desc", "mtime")
+
+
+@query
+def bucket_scans(spark, sf):
+    rows = snapshots.bucket_list(v.bucket_names(spark, sf), v.registry(spark, sf))
+    return rows.withColumn("last_scanned", text.epoch_seconds(F.col("last_scanned")))
+
+
+@query
+def bucket_selection(spark, sf):
+    return snapshots.selection_totals(snapshots.bucket_list(v.bucket_names(spark, sf), v.registry(spark, sf)).filter("name < 'b2'"))
+
+
+@query
+def key_range(spark, sf):
+    return tree_query.key_range(v.listing(spark, sf), "F/y1994/m2", "O").select("bucket", "name", "size_bytes")
+
+
+@query
+def monotonic_runs(spark, sf):
+    rows = v.read(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("shard"), "o_orderkey", F.floor("o_totalprice").cast("long").alias("price"))
+    return tree_query.monotonic_runs(rows, "shard", "o_orderkey", "price").groupBy("shard").agg(F.max("run").alias("falls"), F.count("*").alias("n"))
+
+
+@query
+def maximal_matches(spark, sf):
+    return tree_query.maximal_matches(v.stored(spark, sf), "^(m1[0-2]?|o1.*)$")
+
+
+@query
+def scan_codes(spark, sf):
+    s = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 3) * 43_200
+    scan = F.when(F.col("o_orderkey") % 3 == 0, text.day_text(s)).otherwise(text.day_text(s, "yyyy-MM-dd'T'HHmm"))
+    code = text.encode_scan(scan)
+    return v.read(spark, sf, "orders").select("o_orderkey", text.round_day(s).alias("near_day"), scan.alias("scan"), code.alias("code"), text.decode_scan(code).alias("again"))
+
+
+@query
+def sidecar_owners(spark, sf):
+    return attribution.sidecar_owners(v.sidecars(spark, sf), v.runs(spark, sf))
+
+
+def _user_listing(spark, sf):
+    return v.listing(spark, sf).withColumn("name", F.concat(F.lit("users/"), paths.component(paths.canonical(F.col("name")), 4), F.lit("/"), "name"))
+
+
+@query
+def census_users(spark, sf):
+    return attribution.census(_user_listing(spark, sf))["users"]
+
+
+@query
+def census_records(spark, sf):
+    rows = v.listing(spark, sf).withColumn("name", F.concat("name", F.when(F.col("size_bytes") < 5000, "/.artifact.json").when(F.col("size_bytes") < 9000, "/.executor_info").otherwise("/x")))
+    return attribution.census(rows)["records"]
+
+
+@query
+def census_depth1(spark, sf):
+    return attribution.census(v.listing(spark, sf))["depth1"]
+
+
+def _owned_levels(spark, sf):
+    detail = export.dir_detail(_owned(spark, sf), ["user", "team"])
+    return export.level_rows(detail, 3, ["user", "team"])
+
+
+@query
+def tree_levels_owned(spark, sf):
+    return _owned_levels(spark, sf).withColumn("second_bytes", F.col("second_bytes").cast("string"))
+
+
+@query
+def node_team_shares(spark, sf):
+    return export.node_shares(_owned_levels(spark, sf), "team", 3)
+
+
+@query
+def rollup_bar(spark, sf):
+    return export.rollup_bar(export.node_shares(_owned_levels(spark, sf), "user", 3), "user", 0.01)
+
+
+@query
+def category_order(spark, sf):
+    return export.category_order(_levels(spark, sf))
+
+
+@query
+def child_ranks(spark, sf):
+    return export.child_ranks(export.nodes(_levels(spark, sf), 3))
+
+
+@query
+def signed_tiles(spark, sf):
+    return export.signed_tiles(diff.tree_compare(_flat(spark, sf, "a"), _flat(spark, sf, "b"), 2, 1000).filter("path <> 'TOTAL'"))
+
+
+@query
+def age_rows_in_order(spark, sf):
+    return export.in_total_order(export.age_strata(_canonical(spark, sf)))
+
+
 @query
 def treemap_layout(spark, sf):
     return export.treemap(export.nodes(_levels(spark, sf), 3).filter("depth > 0"))

@@ -23,7 +23,7 @@ GCS = """
 g AS (
   SELECT l_returnflag AS bucket, 'g/' || l_orderkey || '-' || l_linenumber AS name, CAST(floor(l_quantity) AS BIGINT) AS size_bytes,
          CAST(epoch(l_shipdate) AS BIGINT) AS created_s, CAST([1, 2, 3, 4, 0][l_suppkey % 5 + 1] AS INTEGER) AS storage_class_id
-  FROM lineitem WHERE l_orderkey % 10 = 3 AND l_linenumber <> 2
+  FROM lineitem WHERE l_linenumber <> 2
 )
 """
 S3 = """
@@ -67,8 +67,8 @@ def tree(files: str = "SELECT * FROM c", scheme: str = "gcs", name: str = "tree"
 
 
 def snap(which: str) -> str:
-    lacking = {"a": 0, "b": 1}[which]
-    return tree(f"SELECT * FROM c WHERE bucket = 'A' AND CAST(regexp_extract(name, '/l([0-9]+)-', 1) AS BIGINT) % 5 <> {lacking}", name=which)
+    at = {"a": "created_s < 883612800", "b": "created_s >= 709948800"}[which]  # 1998-01-01, 1992-07-01
+    return tree(f"SELECT * FROM c WHERE bucket = 'A' AND {at}", name=which)
 
 
 W = "WITH RECURSIVE "
@@ -84,15 +84,24 @@ reg AS (
 )
 """
 ACC = """
+logged AS (
+  SELECT *, user_id % 2 = 0 AS even,
+         CASE event_type WHEN 'signup' THEN 'POST' WHEN 'purchase' THEN 'DELETE' WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'PATCH' WHEN user_id % 4 = 1 THEN 'HEAD' END
+              ELSE 'GET' END AS method,
+         CASE WHEN event_type = 'click' THEN CASE WHEN user_id % 2 = 0 THEN 'LIST_Bucket' ELSE 'GET_BUCKET' END WHEN event_type = 'purchase' THEN 'DELETE_Object'
+              WHEN user_id % 2 = 0 THEN CASE event_type WHEN 'view' THEN 'GET_Bucket' WHEN 'signup' THEN 'POST_Object' WHEN 'error' THEN 'PUT_Bucket' END END AS operation
+  FROM events
+),
 raw AS (
   SELECT epoch_us(ts) AS ts_us, 'gcs' AS store, 'b' || (user_id % 3) AS bucket,
          CASE WHEN event_type = 'click' THEN '' ELSE event_type || '/u' || (user_id % 20) || '/k' || json_extract_string(props, '$.k') END AS path,
-         CASE event_type WHEN 'click' THEN 'LIST' WHEN 'purchase' THEN 'DELETE' WHEN 'view' THEN 'GET' WHEN 'signup' THEN 'PUT' ELSE 'OTHER' END AS op,
-         CASE event_type WHEN 'click' THEN 'storage.objects.list' WHEN 'purchase' THEN 'storage.objects.delete' WHEN 'view' THEN 'storage.objects.get'
-              WHEN 'signup' THEN 'POST' ELSE 'BREW' END AS op_raw,
+         CASE WHEN regexp_matches(operation, '^LIST|.BUCKET$') THEN 'LIST' WHEN starts_with(operation, 'GET') OR method = 'GET' THEN 'GET'
+              WHEN starts_with(operation, 'PUT') OR method = 'PUT' OR operation IN ('POST_Object', 'POST_Uploads') THEN 'PUT'
+              WHEN starts_with(operation, 'HEAD') OR method = 'HEAD' THEN 'HEAD' WHEN starts_with(operation, 'DELETE') OR method = 'DELETE' THEN 'DELETE' ELSE 'OTHER' END AS op,
+         coalesce(operation, method, '') AS op_raw,
          CAST(CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS INTEGER) AS status, CAST(floor(value) AS BIGINT) AS bytes_out, CAST(user_id % 1000 AS BIGINT) AS bytes_in,
-         'ip' || (user_id % 40) AS requester, 'agent' AS user_agent, 'r' || event_id AS request_id
-  FROM events
+         CASE WHEN user_id % 13 = 0 THEN '' ELSE 'ip' || (user_id % 40) END AS requester, CASE WHEN even THEN 'agent' ELSE '' END AS user_agent, 'r' || event_id AS request_id
+  FROM logged WHERE user_id % 17 > 0
 ),
 leaf AS (
   SELECT path, CAST(floor(ts_us / 86400000000) AS INTEGER) AS day, op, count(*) AS n_ops, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, CAST(sum(bytes_in) AS BIGINT) AS bytes_in,
@@ -152,11 +161,11 @@ OWNED = (
 )
 DETAIL = """
 det AS (
-  SELECT bucket, CASE WHEN name LIKE '%/%' THEN regexp_replace(name, '/[^/]*$', '') ELSE '' END AS dir, size_bytes AS b, created_s // 86400 AS day, storage_class_id AS k FROM c
+  SELECT bucket, CASE WHEN name LIKE '%/%' THEN regexp_replace(name, '/[^/]*$', '') ELSE '' END AS dir, size_bytes AS b, created_s AS sec, storage_class_id AS k FROM c
 ),
 lev AS (
   SELECT bucket, split_part(dir, '/', 1) AS d1, split_part(dir, '/', 2) AS d2, split_part(dir, '/', 3) AS d3, CAST(sum(b) AS BIGINT) AS bytes, count(*) AS objects,
-         CAST(sum(CAST(b AS HUGEINT) * day) AS VARCHAR) AS day_bytes, CAST(sum(b) AS BIGINT) AS dated_bytes, CAST(coalesce(sum(b) FILTER (k = 2), 0) AS BIGINT) AS class2_bytes,
+         CAST(sum(CAST(b AS HUGEINT) * sec) AS VARCHAR) AS second_bytes, CAST(sum(b) AS BIGINT) AS dated_bytes, CAST(coalesce(sum(b) FILTER (k = 2), 0) AS BIGINT) AS class2_bytes,
          CAST(coalesce(sum(b) FILTER (k = 3), 0) AS BIGINT) AS class3_bytes, CAST(coalesce(sum(b) FILTER (k = 4), 0) AS BIGINT) AS class4_bytes
   FROM det GROUP BY 1, 2, 3, 4
 ),
@@ -167,16 +176,34 @@ nod AS (
   UNION ALL SELECT bucket || '/' || d1 || '/' || d2 || '/' || d3, bucket || '/' || d1 || '/' || d2, 3, CAST(sum(bytes) AS BIGINT), CAST(sum(objects) AS BIGINT)
             FROM lev WHERE d3 <> '' GROUP BY bucket, d1, d2, d3
 )"""
+OWN_LEVELS = """, olev AS (
+  SELECT bucket, split_part(dir, '/', 1) AS d1, split_part(dir, '/', 2) AS d2, split_part(dir, '/', 3) AS d3, "user", team, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(*) AS objects,
+         CAST(sum(CAST(size_bytes AS HUGEINT) * created_s) AS VARCHAR) AS second_bytes, CAST(sum(size_bytes) AS BIGINT) AS dated_bytes,
+         CAST(coalesce(sum(size_bytes) FILTER (storage_class_id = 2), 0) AS BIGINT) AS class2_bytes, CAST(coalesce(sum(size_bytes) FILTER (storage_class_id = 3), 0) AS BIGINT) AS class3_bytes,
+         CAST(coalesce(sum(size_bytes) FILTER (storage_class_id = 4), 0) AS BIGINT) AS class4_bytes
+  FROM own GROUP BY 1, 2, 3, 4, 5, 6
+)"""
+
+
+def shares(key: str) -> str:
+    """CTE ``shr``: path, key, its bytes b and the node's bytes t."""
+    return f""", per AS (
+  SELECT bucket AS path, {key}, bytes FROM olev UNION ALL SELECT bucket || '/' || d1, {key}, bytes FROM olev WHERE d1 <> ''
+  UNION ALL SELECT bucket || '/' || d1 || '/' || d2, {key}, bytes FROM olev WHERE d2 <> '' UNION ALL SELECT bucket || '/' || d1 || '/' || d2 || '/' || d3, {key}, bytes FROM olev WHERE d3 <> ''
+), shr AS (SELECT path, {key}, sum(bytes) AS b, sum(sum(bytes)) OVER (PARTITION BY path) AS t FROM per GROUP BY 1, 2)
+"""
+
+
 PRICE = "CASE {k} WHEN 1 THEN 0.020::DOUBLE WHEN 2 THEN 0.010::DOUBLE WHEN 3 THEN 0.004::DOUBLE WHEN 4 THEN 0.0012::DOUBLE ELSE 0.020::DOUBLE END"
 RUNS = r"""
 runs AS (
   SELECT 'llama-experiment-' || (c_custkey % 200) || CASE WHEN c_custkey % 3 = 0 THEN '-' || lpad(lower(printf('%x', c_custkey * 7919)), 8, '0') ELSE '' END
            || CASE WHEN c_custkey % 4 = 1 THEN '_resume' || (c_custkey % 3) ELSE '' END AS name,
-         'u' || (c_nationkey + c_custkey % 2) AS "user", 'gs://b/runs/' || (c_custkey % 150) AS prefix
+         'u' || CASE WHEN c_custkey % 200 < 100 THEN c_custkey % 200 ELSE c_nationkey + c_custkey % 2 + 1000 END AS "user", c_custkey AS k
   FROM customer
 ),
 leaves AS (
-  SELECT DISTINCT 'llama-experiment-' || (s_suppkey % 200) || CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '-0badcafe' WHEN 2 THEN '_resume9' ELSE '-extra-long' END AS leaf FROM supplier
+  SELECT DISTINCT 'llama-experiment-' || (p_partkey % 200) || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '-0badcafe' WHEN 2 THEN '_resume9' ELSE '-extra-long' END AS leaf FROM part
 )
 """
 
@@ -186,7 +213,21 @@ def no_hash(x: str) -> str:
 
 
 def stem(x: str) -> str:
-    return f"regexp_replace(regexp_replace(regexp_replace({x}, '_resume[0-9].*$', ''), '-[0-9a-f]{{6,8}}$', ''), '[_-]+$', '')"
+    return f"regexp_replace(regexp_replace({no_hash(x)}, '[_-]resume[0-9]+.*$', ''), '[_-]+$', '')"
+
+
+def matched(leaves: str) -> str:
+    """CTE ``matched``: leaf, stage, n_users, user of the run name that each leaf finds first."""
+    return f"""
+ix AS (SELECT name, count(DISTINCT "user") AS n_users, min("user") AS "user" FROM runs GROUP BY name),
+tried AS (
+  SELECT leaf, 1 AS stage, 0 AS n, '' AS name, n_users, "user" FROM {leaves} JOIN ix ON name = leaf
+  UNION ALL SELECT leaf, 2, 0, '', n_users, "user" FROM {leaves} JOIN ix ON name = {no_hash('leaf')}
+  UNION ALL SELECT leaf, 3, 0, '', n_users, "user" FROM {leaves} JOIN ix ON name = {stem('leaf')}
+  UNION ALL SELECT leaf, 4, -length(t), name, n_users, "user" FROM (SELECT leaf, {stem('leaf')} AS s FROM {leaves}) JOIN (SELECT *, {stem('name')} AS t FROM ix)
+    ON length(s) >= 16 AND length(t) >= 16 AND left(s, 12) = left(t, 12) AND (starts_with(s, t) OR starts_with(t, s))
+),
+matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY stage, n, name) AS r FROM tried) WHERE r = 1)"""
 
 
 def diff_sql(keys: str, depth: int, unchanged: bool, a: str = "a", b: str = "b") -> str:
@@ -219,7 +260,7 @@ ORACLES: dict[str, str] = {
     "path_ancestors": W + L + """, p AS (SELECT DISTINCT bucket, name FROM c), up AS (SELECT bucket, regexp_extract(name, '^(.*)/[^/]+$', 1) AS dir FROM p
         UNION ALL SELECT bucket, regexp_extract(dir, '^(.*)/[^/]+$', 1) FROM up WHERE dir <> '') SELECT bucket, dir, count(*) AS n_paths FROM up GROUP BY 1, 2""",
     "path_rebase": T + """SELECT path, kind, CASE WHEN path = 'F/y1997' THEN '.' ELSE substr(path, 9) END AS rel, path AS again FROM tree
-        WHERE bucket = 'A' AND depth <= 4 AND (path = 'F/y1997' OR starts_with(path, 'F/y1997/'))""",
+        WHERE bucket = 'A' AND (path = 'F/y1997' OR starts_with(path, 'F/y1997/'))""",
     "tree_rollup": T + "SELECT * FROM tree",
     "tree_rollup_pages": W + PAGES + "," + tree(scheme="http") + "SELECT * FROM tree",
     "tree_rollup_pivot": W + L + "," + tree(
@@ -241,15 +282,15 @@ ORACLES: dict[str, str] = {
     "subtree_filter": T + "SELECT path, kind, size, depth FROM tree WHERE bucket = 'N' AND (path = 'O/y1998/m4' OR starts_with(path, 'O/y1998/m4/'))",
     "depth_filter": T + "SELECT bucket, path, kind, size, depth FROM tree WHERE depth BETWEEN 1 AND 3",
     "path_search": T + "SELECT bucket, path, kind, size FROM tree WHERE path ILIKE '%y1999/m7/o5%'",
-    "expand_single": W + L + "," + tree("SELECT * FROM c WHERE bucket = 'R' AND size_bytes >= 50176") + """,
+    "expand_single": W + L + "," + tree("SELECT * FROM c WHERE bucket = 'R'") + """,
         d AS (SELECT path, n_children FROM tree WHERE kind = 'dir' AND path <> '.'),
         ch AS (SELECT s.path, k.path AS tip, k.n_children, 1 AS n FROM d s JOIN d k ON s.n_children = 1 AND regexp_extract(k.path, '^(.*)/[^/]+$', 1) = s.path
           UNION ALL SELECT ch.path, k.path, k.n_children, n + 1 FROM ch JOIN d k ON ch.n_children = 1 AND regexp_extract(k.path, '^(.*)/[^/]+$', 1) = ch.tip)
         SELECT path, arg_max(tip, n) AS "end", CAST(max(n) AS INTEGER) AS n_collapsed FROM ch GROUP BY path""",
     "path_stats": T + "SELECT bucket, path, size, mtime, n_desc, n_files, n_children FROM tree WHERE path = 'F/y1999/m12'",
-    "unaccounted": T + """, s AS (SELECT * FROM tree WHERE bucket = 'A' AND size >= 300000 AND depth <= 4),
+    "unaccounted": T + """, s AS (SELECT * FROM tree WHERE bucket = 'A' AND size >= 40000 AND depth <= 4),
         k AS (SELECT CASE WHEN parent = '' THEN '.' ELSE parent END AS p, sum(size) AS shown FROM s WHERE path <> '.' GROUP BY 1)
-        SELECT p AS parent, CAST(size - shown AS BIGINT) AS size FROM s JOIN k ON path = p WHERE kind = 'dir' AND size - shown > 100000""",
+        SELECT p AS parent, CAST(size - shown AS BIGINT) AS size FROM s JOIN k ON path = p WHERE kind = 'dir' AND size - shown > 10000""",
     "virtual_root": T + """SELECT CAST(sum(size) AS BIGINT) AS size, max(mtime) AS mtime, CAST(sum(n_desc) AS BIGINT) AS n_desc, count(*) AS n_children
         FROM tree WHERE bucket = 'N' AND depth = 1""",
     "page_of_children": T + "SELECT path, size FROM tree WHERE bucket = 'A' AND parent = 'F/y1997/m3' ORDER BY size DESC, path, kind LIMIT 10 OFFSET 10",
@@ -273,7 +314,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'TOTAL', CAST(sum(objects_a) AS BIGINT), CAST(sum(objects_b) AS BIGINT), CAST(sum(bytes_a) AS BIGINT), CAST(sum(bytes_b) AS BIGINT),
                          CAST(sum(objects_delta) AS BIGINT), CAST(sum(bytes_delta) AS BIGINT) FROM d""",
     "delete_path": W + L + "," + tree() + "," + tree("SELECT * FROM c WHERE NOT starts_with(name, 'F/y1997/')", name="rest") + """
-        SELECT path, kind, size, n_desc, n_files, n_children FROM rest WHERE bucket = 'A' AND depth <= 3""",
+        SELECT path, kind, size, n_desc, n_files, n_children FROM rest WHERE bucket = 'A'""",
     "fresher_patch": "WITH " + REG + """, t AS (SELECT max(time_s) AS t FROM reg WHERE path = 'gcs://b1/d3'),
         s AS (SELECT path AS uri, min(size) AS size, min(n_children) AS n_children, min(n_desc) AS n_desc, min(mtime) AS mtime FROM reg GROUP BY 1),
         n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY time_s DESC, id DESC) AS r FROM reg, t WHERE time_s > t.t)
@@ -301,16 +342,18 @@ ORACLES: dict[str, str] = {
     "attr_user_prefix": "WITH " + L + "SELECT DISTINCT bucket || '/users/' || split_part(name, '/', 4) AS prefix, split_part(name, '/', 4) AS raw FROM c",
     "identity_resolve": """SELECT c_custkey, CASE WHEN c_custkey IN (3, 4) THEN 'customer-000000003' ELSE replace(lower(c_name), '#', '-') END AS "user",
         CASE WHEN c_custkey IN (3, 4) THEN 'data' ELSE 'unknown' END AS team FROM customer""",
-    "run_name_match": "WITH " + RUNS + f""", ix AS (SELECT rank, key, min("user") AS "user" FROM (SELECT 1 AS rank, name AS key, "user" FROM runs UNION ALL SELECT 2, {no_hash('name')}, "user" FROM runs
-          UNION ALL SELECT 3, {stem('name')}, "user" FROM runs) GROUP BY 1, 2 HAVING count(DISTINCT "user") = 1),
-        k AS (SELECT leaf, 1 AS rank, leaf AS key FROM leaves UNION ALL SELECT leaf, 2, {no_hash('leaf')} FROM leaves UNION ALL SELECT leaf, 3, {stem('leaf')} FROM leaves),
-        m AS (SELECT leaf, rank AS stage, "user", 0 AS n FROM k JOIN ix USING (rank, key)
-          UNION ALL SELECT leaf, 4, "user", least(length(s), length(key)) FROM (SELECT leaf, {stem('leaf')} AS s FROM leaves) JOIN ix ON rank = 3
-            AND length(s) >= 16 AND length(key) >= 16 AND (starts_with(s, key) OR starts_with(key, s))),
-        g AS (SELECT leaf, stage, n, count(DISTINCT "user") AS u, min("user") AS "user", row_number() OVER (PARTITION BY leaf ORDER BY stage, n DESC) AS r FROM m GROUP BY 1, 2, 3)
-        SELECT leaf, "user", CAST(stage AS INTEGER) AS stage FROM g WHERE r = 1 AND u = 1""",
-    "writer_path_owner": "WITH " + RUNS + 'SELECT prefix, min("user") AS "user" FROM runs GROUP BY prefix HAVING count(DISTINCT "user") = 1',
-    "run_dirs": "WITH " + L + """, d AS (SELECT string_split(regexp_replace(name, '/[^/]*$', ''), '/') AS p FROM l WHERE bucket = 'A')
+    "run_name_match": "WITH " + RUNS + "," + matched("leaves") + 'SELECT leaf, "user", CAST(stage AS INTEGER) AS stage FROM matched WHERE n_users = 1',
+    "writer_path_owner": "WITH " + RUNS + """, p AS (SELECT 'gs://b/runs/' || (k % 200) AS prefix, "user" FROM runs UNION ALL SELECT 'gs://b/own/' || k, "user" FROM runs)
+        SELECT prefix, min("user") AS "user" FROM p GROUP BY prefix HAVING count(DISTINCT "user") = 1""",
+    "sidecar_owners": "WITH " + RUNS + """, side AS (SELECT 'gs://b/steps/' || (p_partkey % 7) || '/' AS top,
+          'llama-experiment-' || ((p_partkey + 1) % 200) || CASE WHEN p_partkey % 2 = 0 THEN '-0badcafe' ELSE '_resume9' END AS dir,
+          CASE p_partkey % 3 WHEN 0 THEN 'llama-experiment-' || (p_partkey % 200) WHEN 1 THEN 'tokenize' END AS tail,
+          CASE WHEN p_partkey % 5 = 0 THEN 'gs://b/out/' || (p_partkey % 50) END AS out FROM part),
+        own_leaves AS (SELECT dir AS leaf FROM side UNION SELECT tail FROM side WHERE tail IS NOT NULL),""" + matched("own_leaves") + """,
+        j AS (SELECT coalesce(out, top || dir) || '/' AS prefix, top || dir || '/.executor_info' AS path, CASE WHEN t.leaf IS NOT NULL THEN t.n_users ELSE d.n_users END AS n_users,
+          CASE WHEN t.leaf IS NOT NULL THEN t."user" ELSE d."user" END AS "user" FROM side LEFT JOIN matched t ON t.leaf = tail LEFT JOIN matched d ON d.leaf = dir)
+        SELECT prefix, arg_min("user", path) AS "user" FROM j WHERE n_users = 1 GROUP BY prefix""",
+    "run_dirs": "WITH " + L + """, d AS (SELECT string_split(regexp_replace(name, '/[^/]*$', ''), '/') AS p FROM l)
         SELECT DISTINCT array_to_string(p[1:k-1], '/') AS parent, p[k] AS leaf FROM d, range(2, 5) t(k) WHERE len(p) >= k""",
     "record_owners": """SELECT 'r/' || o_orderkey AS path, CASE WHEN o_orderkey % 5 >= 3 THEN 'u' || (o_custkey % 10) END AS built_by, o_orderkey % 5 = 0 AS failed FROM orders""",
     "census_buckets": "WITH " + L + "SELECT bucket, count(*) AS objects, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM l GROUP BY 1",
@@ -357,8 +400,45 @@ ORACLES: dict[str, str] = {
         SELECT CAST(k AS INTEGER) AS cut, name FROM r, range(1, 16) x(k) WHERE r = CAST(ceil(k * t / 16.0::DOUBLE) AS BIGINT)""",
     "dup_keys": "WITH " + L + f"SELECT * FROM ({DUP}) WHERE n > 1",
     "dup_keys_audit": "WITH " + L + f"SELECT bucket, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys, CAST(sum(n) - count(*) AS BIGINT) AS n_surplus FROM ({DUP}) GROUP BY 1",
-    "nested_prefix_dedupe": T + """, p AS (SELECT path || '/' AS prefix FROM tree WHERE bucket = 'A' AND kind = 'dir' AND depth BETWEEN 1 AND 4 AND (depth = 4 OR n_files % 3 = 0))
+    "nested_prefix_dedupe": T + """, p AS (SELECT path || '/' AS prefix FROM tree WHERE bucket = 'A' AND kind = 'dir' AND path <> '.' AND mtime >= 850000000)
         SELECT prefix, (SELECT min(q.prefix) FROM p q WHERE starts_with(p.prefix, q.prefix) AND q.prefix <> p.prefix) AS covered_by FROM p""",
     "storage_stats": AB + "SELECT CAST(2 AS BIGINT) AS n_scans, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS total_size FROM (SELECT size FROM a UNION ALL SELECT size FROM b)",
+    "chunk_stats_nested": AB + """SELECT path, CASE WHEN depth > 1 THEN parent END AS chunk, size, n_desc, n_children FROM a WHERE depth >= 1 AND kind = 'dir' AND n_desc >= 100""",
+    "index_load_or_create": T + """SELECT CAST(sum(size) AS BIGINT) AS size, CAST(sum(n_children) AS BIGINT) AS n_children, CAST(sum(n_desc) AS BIGINT) AS n_desc, max(mtime) AS mtime
+        FROM tree WHERE path = '.'""",
+    "delete_registry_sync": W + L + "," + tree("SELECT * FROM c WHERE bucket = 'A' AND NOT starts_with(name, 'F/y1997/')", name="rest") + """,
+        whole AS (SELECT max(created_s) AS mtime FROM c WHERE bucket = 'A') SELECT 'gcs://A' AS path, size, n_children, n_desc, whole.mtime FROM rest, whole WHERE path = '.'""",
+    "bucket_scans": "WITH " + REG + """, b AS (SELECT 'b' || n_nationkey AS name, n_name AS created FROM nation), s AS (SELECT name, reg.*, row_number() OVER (PARTITION BY name ORDER BY time_s DESC, id DESC) AS r
+          FROM b JOIN reg ON reg.path = 'gcs://' || name OR starts_with(reg.path, 'gcs://' || name || '/'))
+        SELECT b.name, b.created, time_s AS last_scanned, size, n_children, n_desc FROM b LEFT JOIN s ON s.name = b.name AND r = 1""",
+    "bucket_selection": "WITH " + REG + """, s AS (SELECT arg_max(size, (time_s, id)) AS size, arg_max(n_desc, (time_s, id)) AS n_desc FROM reg WHERE path LIKE 'gcs://b0%' OR path LIKE 'gcs://b1%'
+          GROUP BY left(path, 8))
+        SELECT (SELECT count(*) FROM nation WHERE 'b' || n_nationkey < 'b2') AS n, count(*) AS n_scanned, CAST(sum(size) AS BIGINT) AS size, CAST(sum(n_desc) AS BIGINT) AS n_desc FROM s""",
+    "key_range": "WITH " + L + "SELECT bucket, name, size_bytes FROM l WHERE name >= 'F/y1994/m2' AND name < 'O'",
+    "monotonic_runs": """WITH r AS (SELECT o_custkey % 50 AS shard, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders),
+        f AS (SELECT shard, price < lag(price) OVER (PARTITION BY shard ORDER BY o_orderkey) AS fell FROM r)
+        SELECT shard, count(*) FILTER (fell) AS falls, count(*) AS n FROM f GROUP BY shard""",
+    "maximal_matches": T + """, h AS (SELECT bucket, path, size FROM tree WHERE kind = 'dir' AND path <> '.' AND regexp_matches(string_split(path, '/')[-1], '^(m1[0-2]?|o1.*)$'))
+        SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.bucket = h.bucket AND starts_with(h.path, g.path || '/'))""",
+    "scan_codes": """WITH s AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + (o_orderkey % 3) * 43200 AS s FROM orders),
+        t AS (SELECT o_orderkey, CAST(s / 86400.0::DOUBLE AS INTEGER) AS near_day, make_timestamp(s * 1000000) AS t, o_orderkey % 3 = 0 AS whole FROM s)
+        SELECT o_orderkey, near_day, strftime(t, '%Y-%m-%d') || CASE WHEN whole THEN '' ELSE strftime(t, 'T%H%M') END AS scan,
+          strftime(t, '%y%m%d') || CASE WHEN whole THEN '' ELSE strftime(t, '-%H%M') END AS code,
+          '20' || strftime(t, '%y-%m-%d') || CASE WHEN whole THEN '' ELSE strftime(t, 'T%H%M') END AS again FROM t""",
+    "census_users": "WITH " + L + """SELECT bucket, split_part(rtrim(regexp_replace(name, '/+', '/', 'g'), '/'), '/', 4) AS segment, count(*) AS objects, CAST(sum(size_bytes) AS BIGINT) AS bytes
+        FROM l GROUP BY 1, 2""",
+    "census_records": "WITH " + L + "SELECT bucket, count(*) AS objects, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM l WHERE size_bytes < 9000 GROUP BY 1",
+    "census_depth1": "WITH " + L + """SELECT bucket, split_part(name, '/', 1) AS d1, count(*) AS objects, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM l GROUP BY 1, 2
+        ORDER BY bytes DESC, bucket, d1 LIMIT 20""",
+    "tree_levels_owned": OWNED + OWN_LEVELS + "SELECT * FROM olev",
+    "node_team_shares": OWNED + OWN_LEVELS + shares("team") + 'SELECT path, team, CAST(b AS BIGINT) AS bytes, CAST(b AS DOUBLE) / CAST(t AS DOUBLE) AS share FROM shr',
+    "rollup_bar": OWNED + OWN_LEVELS + shares('"user"') + """SELECT path, CASE WHEN CAST(b AS DOUBLE) / CAST(t AS DOUBLE) >= 0.01 AND "user" IS NOT NULL THEN "user" ELSE 'other' END AS name,
+        CAST(sum(b) AS BIGINT) AS bytes FROM shr GROUP BY 1, 2""",
+    "category_order": "WITH " + L + "SELECT split_part(name, '/', 1) AS d1, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM c GROUP BY 1",
+    "child_ranks": "WITH " + L + "," + DETAIL + "SELECT path, parent, bytes, CAST(row_number() OVER (PARTITION BY parent ORDER BY bytes DESC, path) AS INTEGER) AS rank FROM nod WHERE depth > 0",
+    "signed_tiles": AB + """, x AS (SELECT path, size AS y FROM a WHERE kind = 'dir' AND depth = 2), z AS (SELECT path, size AS y FROM b WHERE kind = 'dir' AND depth = 2),
+        d AS (SELECT path, coalesce(z.y, 0) - coalesce(x.y, 0) AS delta FROM x FULL JOIN z USING (path))
+        SELECT path, CAST(delta AS BIGINT) AS delta, CAST(abs(delta) AS BIGINT) AS weight, CAST(sign(delta) AS INTEGER) AS sign FROM d WHERE delta <> 0""",
+    "age_rows_in_order": "WITH " + L + """SELECT CAST(created_s // 86400 AS INTEGER) AS day, split_part(name, '/', 1) AS d1, CAST(sum(size_bytes) AS BIGINT) AS bytes, count(*) AS objects FROM c GROUP BY 1, 2""",
     "chunk_stats": AB + "SELECT path, size, n_desc, n_children FROM a WHERE depth = 1 AND kind = 'dir' AND n_desc >= 100",
 }

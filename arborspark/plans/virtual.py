@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborspark.operators.rollup import rollup
+from arborspark.operators.snapshots import Store
+from arborspark.scratch import home
 from arborspark.sources import access
 from arborspark.sources.listing import normalize
 
@@ -75,11 +77,22 @@ def tree(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return rollup(listing(spark, sf_dir), **how)
 
 
+def store(spark: SparkSession) -> Store:
+    """The application's own store in the shared folder."""
+    return Store(spark, f"{home(spark)}/store")
+
+
+def stored(spark: SparkSession, sf_dir: str, bucket: str | None = None) -> DataFrame:
+    """The tree of the listing, or of one of its buckets, from the store; the first reader of a table's listing indexes it."""
+    t = store(spark).load_or_create(f"{sf_dir}/lineitem", lambda: tree(spark, sf_dir))
+    return t if bucket is None else t.filter(F.col("bucket") == bucket)
+
+
 def snapshot(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """Two states of one bucket: without the keys of one order in five, another one in each."""
-    lacking = {"a": 0, "b": 1}[which]
-    t = listing(spark, sf_dir).filter("bucket = 'A'").withColumn("_k", F.regexp_extract("name", "/l([0-9]+)-", 1).cast("long"))
-    return rollup(t.filter(F.col("_k") % 5 != lacking).drop("_k")).drop("bucket")
+    """Two states of one bucket, from the store: what was there at two dates, where the earliest objects have gone by the second one."""
+    first, last = {"a": ("1900-01-01", "1998-01-01"), "b": ("1992-07-01", "2100-01-01")}[which]
+    rows = lambda: listing(spark, sf_dir).filter((F.col("bucket") == "A") & (F.col("created") >= first) & (F.col("created") < last))
+    return store(spark).load_or_create(f"{sf_dir}/lineitem#{which}", lambda: rollup(rows()).drop("bucket"))
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,16 +114,23 @@ def asked_uris(spark: SparkSession) -> DataFrame:
 
 
 def raw_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw usage rows from events; one request in 20 is logged twice."""
+    """Raw usage rows from events, some without bucket, address, agent, method or operation; one request in 20 is logged twice."""
     t = read(spark, sf_dir, "events")
-    kind = F.col("event_type")
+    kind, even = F.col("event_type"), F.col("user_id") % 2 == 0
+    method = (
+        F.when(kind == "signup", "POST").when(kind == "purchase", "DELETE").when((kind == "error") & even, "PATCH").when((kind == "error") & (F.col("user_id") % 4 == 1), "HEAD")
+        .when(kind != "error", "GET")
+    )
+    operation = (
+        F.when((kind == "click") & even, "LIST_Bucket").when(kind == "click", "GET_BUCKET").when(kind == "purchase", "DELETE_Object")
+        .when((kind == "view") & even, "GET_Bucket").when((kind == "signup") & even, "POST_Object").when((kind == "error") & even, "PUT_Bucket")
+    )
     rows = t.select(
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("time_micros"), F.concat(F.lit("ip"), F.col("user_id") % 40).alias("c_ip"),
-        F.when(kind == "signup", "POST").when(kind == "error", "BREW").otherwise("GET").alias("cs_method"), F.when(kind == "error", 500).otherwise(200).alias("sc_status"),
-        (F.col("user_id") % 1000).cast("long").alias("cs_bytes"), F.floor("value").cast("long").alias("sc_bytes"), F.lit("agent").alias("cs_user_agent"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("time_micros"), F.when(F.col("user_id") % 13 > 0, F.concat(F.lit("ip"), F.col("user_id") % 40)).alias("c_ip"),
+        method.alias("cs_method"), F.when(kind == "error", 500).otherwise(200).alias("sc_status"),
+        (F.col("user_id") % 1000).cast("long").alias("cs_bytes"), F.floor("value").cast("long").alias("sc_bytes"), F.when(even, "agent").alias("cs_user_agent"),
         F.concat(F.lit("r"), "event_id").alias("s_request_id"),
-        F.when(kind == "click", "storage.objects.list").when(kind == "purchase", "storage.objects.delete").when(kind == "view", "storage.objects.get").alias("cs_operation"),
-        F.concat(F.lit("b"), F.col("user_id") % 3).alias("cs_bucket"),
+        operation.alias("cs_operation"), F.when(F.col("user_id") % 17 > 0, F.concat(F.lit("b"), F.col("user_id") % 3)).alias("cs_bucket"),
         F.when(kind != "click", F.concat(kind, F.lit("/u"), F.col("user_id") % 20, F.lit("/k"), F.get_json_object("props", "$.k"))).alias("cs_object"),
     )
     return rows.unionByName(rows.filter(F.substring("s_request_id", 2, 20).cast("long") % 20 == 0))
@@ -125,24 +145,41 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training runs from customers: names with hashes and resume marks, owners by nation."""
+    """Training runs from customers: names with hashes and resume marks; half of the names have one owner, the others one by nation."""
     t = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     name = F.concat(
         F.lit("llama-experiment-"), k % 200, F.when(k % 3 == 0, F.concat(F.lit("-"), F.lower(F.lpad(F.hex(k * 7919), 8, "0")))).otherwise(""),
         F.when(k % 4 == 1, F.concat(F.lit("_resume"), k % 3)).otherwise(""),
     )
-    paths = F.to_json(F.array(F.array(F.lit("output_path"), F.concat(F.lit("gs://b/runs/"), k % 150, F.lit("/"))), F.array(F.lit("data"), F.lit("gs://b/data"))))
-    return t.select(name.alias("name"), F.concat(F.lit("u"), F.col("c_nationkey") + k % 2).alias("user"), paths.alias("gs_paths"))
+    pairs = [("output_path", F.concat(F.lit("gs://b/runs/"), k % 200, F.lit("/"))), ("ckpt_dir", F.lit("gs://b/ckpt")), ("x_RUN_DIR", F.concat(F.lit("gs://b/own/"), k)), ("data", F.lit("gs://b/data"))]
+    paths = F.to_json(F.array(*[F.array(F.lit(name), path) for name, path in pairs]))
+    user = F.when(k % 200 < 100, k % 200).otherwise(F.col("c_nationkey") + k % 2 + 1000)
+    return t.select(name.alias("name"), F.concat(F.lit("u"), user).alias("user"), paths.alias("gs_paths"))
 
 
 def run_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run directories: exact names, names with another hash, bare stems and longer ones."""
-    t = read(spark, sf_dir, "supplier")
-    k = F.col("s_suppkey")
+    t = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
     tail = F.when(k % 4 == 0, "").when(k % 4 == 1, "-0badcafe").when(k % 4 == 2, "_resume9").otherwise("-extra-long")
     return t.select(F.concat(F.lit("llama-experiment-"), k % 200, tail).alias("leaf"))
 
 
+def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step sidecars from parts: some with the name of a run, some in a run's directory, some with an output path, some with nothing."""
+    t = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("steps/llama-experiment-"), k % 200)).when(k % 3 == 1, "steps/tokenize")
+    folder = F.concat(F.lit("gs://b/steps/"), k % 7, F.lit("/llama-experiment-"), (k + 1) % 200, F.when(k % 2 == 0, "-0badcafe").otherwise("_resume9"))
+    out = F.when(k % 5 == 0, F.concat(F.lit("gs://b/out/"), k % 50, F.lit("/"))).when(k % 5 == 1, "/tmp/out")
+    return t.select(F.concat(folder, F.lit("/.executor_info")).alias("path"), name.alias("name"), out.alias("output_path"))
+
+
+def bucket_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live buckets from nations; scans know a few of them."""
+    return read(spark, sf_dir, "nation").select(F.concat(F.lit("b"), "n_nationkey").alias("name"), F.col("n_name").alias("created"))
+
+
 def normalized(df: DataFrame) -> DataFrame:
     return normalize(df)

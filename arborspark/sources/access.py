@@ -24,13 +24,13 @@ def read_gcs(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def canonical_gcs(raw: DataFrame, store: str = "gcs") -> DataFrame:
-    """Canonical rows, one per request id (null ids are one)."""
-    rows = raw.select(
+    """Canonical rows, one per request id (null ids are one). Rows without a bucket go; lacking texts are empty."""
+    rows = raw.filter("cs_bucket IS NOT NULL").select(
         F.timestamp_micros("time_micros").alias("ts"), F.lit(store).alias("store"), F.col("cs_bucket").alias("bucket"),
         F.coalesce("cs_object", F.lit("")).alias("path"), normalize_op(F.col("cs_method"), F.col("cs_operation")).alias("op"),
-        F.coalesce("cs_operation", "cs_method").alias("op_raw"), F.col("sc_status").alias("status"),
+        F.coalesce("cs_operation", "cs_method", F.lit("")).alias("op_raw"), F.col("sc_status").alias("status"),
         F.coalesce("sc_bytes", F.lit(0)).cast("long").alias("bytes_out"), F.coalesce("cs_bytes", F.lit(0)).cast("long").alias("bytes_in"),
-        F.col("c_ip").alias("requester"), F.col("cs_user_agent").alias("user_agent"), F.col("s_request_id").alias("request_id"),
+        F.coalesce("c_ip", F.lit("")).alias("requester"), F.coalesce("cs_user_agent", F.lit("")).alias("user_agent"), F.col("s_request_id").alias("request_id"),
     )
     return dedupe(rows)
 

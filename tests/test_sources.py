@@ -24,6 +24,31 @@ def test_bulk_listing_splits_hot_ranges(spark, tmp_path):
         bulk.assert_no_duplicates(got.limit(0).unionByName(spark.createDataFrame([("b", "x", 1, None, 0)] * 2, got.schema)))
 
 
+def test_open_ranges_are_shared(spark, tmp_path):
+    objects = [(f"data/abc/{i:05d}", i, "2026-01-02T03:04:05Z", "STANDARD") for i in range(3000)]
+    out = f"file://{tmp_path}/open"
+    got = bulk.list_bucket(spark, "b", bulk.FakePager(objects), out, max_pages=3)
+    assert got.count() == 3000
+    bulk.assert_no_duplicates(got)
+    tasks = spark.read.parquet(f"{out}/round=*").filter("name IS NULL").count()
+    rounds = len([p for p in (tmp_path / "open").iterdir() if p.name.startswith("round=")])
+    assert tasks > 40 and rounds < 20, (tasks, rounds)  # one reader alone would take 100 rounds
+    cuts = bulk.warm_cuts(spark, out)
+    inside = [sum(a <= o[0] < b for o in objects) for a, b in zip(cuts, cuts[1:])]
+    assert sum(n > 0 for n in inside) > len(inside) / 2
+
+
+def test_discovery_and_shards(spark, tmp_path):
+    keys = ["a/x/1", "a/x/2", "a/y/1", "a/top", "b/", "b/z/q/1", "c", "d//e", "d/f/g"]
+    pager = bulk.FakePager([(k, 1, "2026-01-02T03:04:05Z", "STANDARD") for k in keys])
+    assert bulk.discover(pager, levels=1) == ["a/", "b/", "d/"]
+    assert bulk.discover(pager) == ["a/x/", "a/y/", "b/z/", "d//", "d/f/"] and bulk.discover(pager, most=3) == ["a/", "b/", "d/"]
+    got = bulk.list_bucket(spark, "b", pager, f"file://{tmp_path}/found", cuts=bulk.discover(pager))
+    assert sorted(r.name for r in got.collect()) == sorted(keys)
+    bulk.write_shards(got.coalesce(1), f"file://{tmp_path}/shards", rows=4)
+    assert len(list((tmp_path / "shards").glob("part-*.parquet"))) == 3 and spark.read.parquet(f"file://{tmp_path}/shards").count() == 9
+
+
 def test_window_edges():
     assert bulk.window_edges(0, 8, 2) == [0, 2, 4, 6, 8]
 

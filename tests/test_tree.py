@@ -1,10 +1,12 @@
 """Hand-computed trees and edge cases."""
 
 import datetime
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
 
+from arborspark.functions import text
 from arborspark.operators import diff, export, planning, rollup, snapshots, tree_query
 from arborspark.sources import access, listing, urls, walk
 
@@ -123,7 +125,18 @@ def test_store_round_trip(spark, tmp_path):
     assert {r.path for r in store.load(1, max_depth=1).collect()} == {".", "a"}
     plan = store.load(1, 1, 1)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(depth,1)" in plan
-    store.drop(2)
+    store.adopt(f"file://{tmp_path}/trees/scan_id=1", 7, "gcs://b7", "2026-07-03")
+    assert store.load(7).count() == 5 and store.scan_of("gcs://b7").n_desc == 5
+    store.drop(7)
+    assert store.load(1).count() == 5 and store.load_or_create("gcs://b1", lambda: None).count() == 4
+    assert store.load_or_create("gcs://b9", lambda: tree).count() == 5 and store.scan_of("gcs://b9").id == 3
+    assert store.collect_garbage("2026-07-01 12:00:00") == [1] and store.scans() == [3, 2]
+    store.save(tree, 1, "gcs://b1", "2026-07-01")
+    store.drop(3)
+    store.save(tree.filter("path LIKE 'a%'"), 5, "gcs://b1/a/b", "2020-01-01")
+    assert store.delete("gcs://b1/a/b") == 6 and store.scans() == [6, 1] and {r.path for r in store.load(6).collect()} == {".", "a"}
+    assert store.scan_of("gcs://b1").size == 6 and store.delete("gcs://none/x") is None
+    store.drop(6)
     assert store.scans() == [1]
     with pytest.raises(Exception):
         store.save(tree, 1, "gcs://b1", "2026-07-01")
@@ -135,9 +148,15 @@ def test_access_dedupe_and_parsers(spark):
     full = raw
     for f in ("c_ip", "cs_user_agent", "cs_bucket", "cs_object"):
         full = full.withColumn(f, F.lit("x"))
+    assert access.canonical_gcs(full.withColumn("sc_status", F.lit(200)).withColumn("cs_bytes", F.lit(0).cast("long")).withColumn("cs_bucket", F.lit(None).cast("string"))).count() == 0
+    ops = [("GET", "LIST_Bucket"), ("GET", "LIST_Buckets"), ("GET", "GET_Bucket"), ("PATCH", "PUT_Bucket"), ("POST", "POST_Object"), ("POST", None), (None, None), ("PUT", "GET_BUCKET"), (None, "HEAD_Object"), ("DELETE", "x")]
+    got = spark.createDataFrame(ops, "m string, o string").select(text.normalize_op(F.col("m"), F.col("o")).alias("op")).collect()
+    assert [r.op for r in got] == ["LIST", "LIST", "GET", "PUT", "PUT", "OTHER", "OTHER", "LIST", "HEAD", "DELETE"]
+    names = spark.createDataFrame([("run-abcdef12_resume3",), ("run-resume2",), ("run_resume1-x-abcdef",), ("run-abcdef--",), ("a-123456",)], "n string")
+    assert [r[0] for r in names.select(text.stem(F.col("n"))).collect()] == ["run-abcdef12", "run", "run", "run-abcdef", "a"]
     full = full.withColumn("sc_status", F.lit(200)).withColumn("cs_bytes", F.lit(0).cast("long"))
     out = access.canonical_gcs(full).collect()
-    assert len(out) == 2 and {r.op for r in out} == {"GET"}
+    assert len(out) == 2 and {r.op for r in out} == {"GET", "OTHER"}
     line = 'own bkt [06/Feb/2026:00:00:38 +0000] 1.2.3.4 arn REQ1 REST.GET.OBJECT a%20b/c "GET /a HTTP/1.1" 200 - 113 113 7 - "-" "agent" -'
     got = access.canonical_s3(spark.createDataFrame([(line,), ("junk",)], "value string")).collect()
     assert [(r.path, r.op, r.bytes_out, r.requester) for r in got] == [("a b/c", "GET", 113, "1.2.3.4")]
@@ -152,7 +171,14 @@ def test_planning():
         assert m is not None and low < m and (high is None or m < high), (low, high, m)
     assert planning.key_midpoint("a", "a\x00") is None
     assert planning.next_prefix("a/") == "a0"
-    assert planning.dedupe_prefixes(["a/", "a/b/", "c/", "a/"]) == (["a/", "c/"], [("a/b/", "a/")])
+    assert planning.next_prefix("a\U0010ffff") == "b" and planning.next_prefix("\ud7ff") == "\ue000" and planning.next_prefix("") is None
+    assert planning.open_split("data/abc/00000", "data/abc/00012") == "data/abc/0002"
+    for first, last in (("a", "a"), ("a/b", "zz"), ("x9", "x99"), ("k/Z", "k/Z"), ("\U0010ffff", "\U0010ffff")):
+        assert planning.open_split(first, last) > last
+    keys = ["".join(t) for n in range(4) for t in itertools.product("\x00\x01a9", repeat=n)]
+    for low, high in itertools.combinations(sorted(keys), 2):
+        m = planning.key_midpoint(low, high)
+        assert (low < m < high) if m is not None else high.startswith(low) and set(high[len(low) :]) <= {"\x00", "\x01"}, (low, high, m)
 
 
 def test_squarify_covers_the_area():
