@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arborspark.scratch import free_name, materialize, ranked, scratch, shared_dir
+
+__all__ = ["arrow_rows", "free_name", "materialize", "n_words", "quoted", "ranked", "scratch", "shared_dir", "table", "utf8"]
+
 #: A word is a run of characters other than ASCII white space; ``bytes.split()`` cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,62 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``.
-
-    Only a local master without that setting falls back to a folder of its own; on a cluster a missing
-    setting is an error, since no other folder is known to be shared.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = "file://" + os.path.join(tempfile.gettempdir(), "arborspark-shared")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/arborspark/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there and lost
-    executors lose nothing."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def free_name(name: str, columns: Iterable[str]) -> str:
-    """``name`` with as many underscores as it takes to differ from all ``columns``."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def quoted(name: str) -> str:
     """A column name as Spark reads it back, dots and all."""
     return "`" + name.replace("`", "``") + "`"
 
 
-def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """``df`` with its place from 0 in that order. Rows are dealt by range and written once; then each range is counted
-    and ranked by itself, so no task sees more than a range (and one row per range)."""
-    spark = df.sparkSession
-    part, start = (free_name(x, [*df.columns, name]) for x in ("_part", "_start"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), "ranked")
-    counts = dealt.groupBy(part).agg(F.count("*").alias(start))  # as many rows as ranges
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
-    starts = counts.select(part, (F.sum(start).over(before) - F.col(start)).alias(start))
-    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return dealt.withColumn(name, inside).join(F.broadcast(starts), part).select(*df.columns, (F.col(name) + F.col(start) - 1).alias(name))
-
-
 def arrow_rows(
     df: DataFrame,
     schema: T.StructType,
