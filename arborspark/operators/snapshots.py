@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from arborspark.functions import paths
 from arborspark.operators import tree_query
+from arborspark.scratch import materialize
 
 REGISTRY = (
     "id int, path string, time timestamp, blob string, error_count int, error_paths string, size long, n_children long, n_desc long, mtime long"
@@ -106,6 +107,7 @@ class Store:
 
     def save(self, tree: DataFrame, scan_id: int, uri: str, time, partitions: int | None = None, if_exists: str = "errorifexists") -> None:
         keys = (["bucket"] if "bucket" in tree.columns else []) + ["depth", "path"]
+        tree = materialize(tree, "tree")  # ranges are sampled before rows are dealt; the tree is made once for both
         ranged = tree.repartitionByRange(partitions, *keys) if partitions else tree.repartitionByRange(*keys)
         ranged.sortWithinPartitions(*keys, "kind").write.mode(if_exists).parquet(f"{self.path}/trees/scan_id={scan_id}")
         self._register(scan_id, uri, time, f"scan_id={scan_id}", if_exists)
