@@ -177,7 +177,7 @@ def match_runs(leaves: DataFrame, runs: DataFrame, least: int = 16, block: int =
 def sidecar_owners(sidecars: DataFrame, runs: DataFrame) -> DataFrame:
     """prefix, user from step sidecars (path, name, output_path) and runs: the last component of the step's name is matched first, then the
     name of the sidecar's own directory; the first that matches decides. The prefix is the output path if that is in a store, else
-    the directory; of several sidecars of one prefix the smallest path wins."""
+    the directory; of several sidecars of one prefix the smallest path wins, and of one path the smallest user."""
     base = paths.parent(F.col("path"))
     tail = F.when(F.col("name") != "", paths.basename(F.col("name")))
     rows = sidecars.select("path", tail.alias("tail"), paths.basename(base).alias("dir"), base.alias("base"), "output_path")
@@ -188,7 +188,7 @@ def sidecar_owners(sidecars: DataFrame, runs: DataFrame) -> DataFrame:
     user = F.when(F.col("hit_tail"), F.col("user_tail")).otherwise(F.col("user_dir"))
     out = F.when(F.col("output_path").startswith("gs://"), F.rtrim("output_path", F.lit("/"))).otherwise(F.col("base"))
     hits = joined.select(F.concat(out, F.lit("/")).alias("prefix"), user.alias("user"), "path").filter("user IS NOT NULL")
-    return hits.groupBy("prefix").agg(F.min_by("user", "path").alias("user"))
+    return hits.groupBy("prefix").agg(F.min(F.struct("path", "user")).alias("w")).select("prefix", "w.user")
 
 
 def writer_paths(runs: DataFrame, pattern: str = r"(?i)(^|_)(output|save|run_dir|artifact_dir|out_dir|store|base_path)") -> DataFrame:

@@ -352,7 +352,7 @@ ORACLES: dict[str, str] = {
         own_leaves AS (SELECT dir AS leaf FROM side UNION SELECT tail FROM side WHERE tail IS NOT NULL),""" + matched("own_leaves") + """,
         j AS (SELECT coalesce(out, top || dir) || '/' AS prefix, top || dir || '/.executor_info' AS path, CASE WHEN t.leaf IS NOT NULL THEN t.n_users ELSE d.n_users END AS n_users,
           CASE WHEN t.leaf IS NOT NULL THEN t."user" ELSE d."user" END AS "user" FROM side LEFT JOIN matched t ON t.leaf = tail LEFT JOIN matched d ON d.leaf = dir)
-        SELECT prefix, arg_min("user", path) AS "user" FROM j WHERE n_users = 1 GROUP BY prefix""",
+        SELECT prefix, arg_min("user", (path, "user")) AS "user" FROM j WHERE n_users = 1 GROUP BY prefix""",
     "run_dirs": "WITH " + L + """, d AS (SELECT string_split(regexp_replace(name, '/[^/]*$', ''), '/') AS p FROM l)
         SELECT DISTINCT array_to_string(p[1:k-1], '/') AS parent, p[k] AS leaf FROM d, range(2, 5) t(k) WHERE len(p) >= k""",
     "record_owners": """SELECT 'r/' || o_orderkey AS path, CASE WHEN o_orderkey % 5 >= 3 THEN 'u' || (o_custkey % 10) END AS built_by, o_orderkey % 5 = 0 AS failed FROM orders""",
