@@ -203,7 +203,7 @@ runs AS (
   FROM customer
 ),
 leaves AS (
-  SELECT DISTINCT 'llama-experiment-' || (p_partkey % 200) || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '-0badcafe' WHEN 2 THEN '_resume9' ELSE '-extra-long' END AS leaf FROM part
+  SELECT DISTINCT 'llama-experiment-' || (p_partkey % 200) || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 3 THEN '-0badcafe' WHEN 2 THEN '_resume9' ELSE '-extra-long' END AS leaf FROM part
 )
 """
 

@@ -162,7 +162,7 @@ def run_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run directories: exact names, names with another hash, bare stems and longer ones."""
     t = read(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    tail = F.when(k % 4 == 0, "").when(k % 4 == 1, "-0badcafe").when(k % 4 == 2, "_resume9").otherwise("-extra-long")
+    tail = F.when(k % 4 == 0, "").when(k % 4 == 3, "-0badcafe").when(k % 4 == 2, "_resume9").otherwise("-extra-long")
     return t.select(F.concat(F.lit("llama-experiment-"), k % 200, tail).alias("leaf"))
 
 
