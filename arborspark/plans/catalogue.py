@@ -134,7 +134,7 @@ def path_search(spark, sf):
 
 @query
 def expand_single(spark, sf):
-    return tree_query.single_chains(rollup.rollup(v.listing(spark, sf).filter("bucket = 'R'")))
+    return tree_query.single_chains(rollup.rollup(v.order_listing(spark, sf)))
 
 
 @query

@@ -33,6 +33,13 @@ s AS (
   FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 8 <> 0
 )
 """
+ORDERS = """
+c AS (
+  SELECT 'orders' AS bucket, 'c' || o_custkey || '/y' || year(o_orderdate) || '/m' || month(o_orderdate) || '/d' || day(o_orderdate) || '/o' || o_orderkey AS name,
+         CAST(floor(o_totalprice) AS BIGINT) AS size_bytes, CAST(epoch(o_orderdate) AS BIGINT) AS created_s, 0 AS storage_class_id
+  FROM orders
+)
+"""
 
 
 def tree(files: str = "SELECT * FROM c", scheme: str = "gcs", name: str = "tree", more: str = "", more_files: str = "", more_dirs: str = "") -> str:
@@ -282,7 +289,7 @@ ORACLES: dict[str, str] = {
     "subtree_filter": T + "SELECT path, kind, size, depth FROM tree WHERE bucket = 'N' AND (path = 'O/y1998/m4' OR starts_with(path, 'O/y1998/m4/'))",
     "depth_filter": T + "SELECT bucket, path, kind, size, depth FROM tree WHERE depth BETWEEN 1 AND 3",
     "path_search": T + "SELECT bucket, path, kind, size FROM tree WHERE path ILIKE '%y1999/m7/o5%'",
-    "expand_single": W + L + "," + tree("SELECT * FROM c WHERE bucket = 'R'") + """,
+    "expand_single": W + ORDERS + "," + tree() + """,
         d AS (SELECT path, n_children FROM tree WHERE kind = 'dir' AND path <> '.'),
         ch AS (SELECT s.path, k.path AS tip, k.n_children, 1 AS n FROM d s JOIN d k ON s.n_children = 1 AND regexp_extract(k.path, '^(.*)/[^/]+$', 1) = s.path
           UNION ALL SELECT ch.path, k.path, k.n_children, n + 1 FROM ch JOIN d k ON ch.n_children = 1 AND regexp_extract(k.path, '^(.*)/[^/]+$', 1) = ch.tip)
@@ -418,8 +425,8 @@ ORACLES: dict[str, str] = {
     "monotonic_runs": """WITH r AS (SELECT o_custkey % 50 AS shard, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders),
         f AS (SELECT shard, price < lag(price) OVER (PARTITION BY shard ORDER BY o_orderkey) AS fell FROM r)
         SELECT shard, count(*) FILTER (fell) AS falls, count(*) AS n FROM f GROUP BY shard""",
-    "maximal_matches": T + """, h AS (SELECT bucket, path, size FROM tree WHERE kind = 'dir' AND path <> '.' AND regexp_matches(string_split(path, '/')[-1], '^(m1[0-2]?|o1.*)$'))
-        SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.bucket = h.bucket AND starts_with(h.path, g.path || '/'))""",
+    "maximal_matches": T + """SELECT bucket, path, size FROM tree WHERE kind = 'dir' AND path <> '.' AND regexp_matches(path, '(^|/)(m1[0-2]?|o1[^/]*)$')
+        AND NOT regexp_matches(path, '(^|/)(m1[0-2]?|o1[^/]*)/')""",
     "scan_codes": """WITH s AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + (o_orderkey % 3) * 43200 AS s FROM orders),
         t AS (SELECT o_orderkey, CAST(s / 86400.0::DOUBLE AS INTEGER) AS near_day, make_timestamp(s * 1000000) AS t, o_orderkey % 3 = 0 AS whole FROM s)
         SELECT o_orderkey, near_day, strftime(t, '%Y-%m-%d') || CASE WHEN whole THEN '' ELSE strftime(t, 'T%H%M') END AS scan,

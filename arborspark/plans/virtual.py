@@ -68,6 +68,14 @@ def s3_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by customer, year, month and day: few at each place, so many directories hold one directory only."""
+    t = read(spark, sf_dir, "orders")
+    day = F.col("o_orderdate")
+    name = F.concat(F.lit("c"), "o_custkey", F.lit("/y"), F.year(day), F.lit("/m"), F.month(day), F.lit("/d"), F.day(day), F.lit("/o"), "o_orderkey")
+    return t.select(F.lit("orders").alias("bucket"), name.alias("name"), F.floor("o_totalprice").cast("long").alias("size_bytes"), day.cast("timestamp").alias("created"))
+
+
 def docs_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "documents")
     return t.select(F.col("lang").alias("bucket"), F.concat("source", F.lit("/"), "doc_id").alias("name"), F.col("n_chars").cast("long").alias("size_bytes"))
