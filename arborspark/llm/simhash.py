@@ -221,9 +221,11 @@ def _classes(fps: DataFrame, hot: int) -> DataFrame:
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     named = materialize(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", "root"), "named")
     alone = named.filter("root IS NULL").select(F.col("fp").alias("_fp"), F.col("fp").alias("root"), F.col("first").alias("component_id"))
-    members = named.filter("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
-    # a component may hold a third of all fingerprints: its id meets them in as many places
-    ids = members.groupBy("root").agg(F.min("first").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    members = named.filter("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    # a component may hold a third of all fingerprints: its id meets them in as many places, but only where it has members
+    dealt = members.groupBy("root", "salt").agg(F.min("first").alias("least"))
+    whole = dealt.groupBy("root").agg(F.min("least").alias("component_id"), F.collect_list("salt").alias("salts"))
+    ids = whole.select("root", "component_id", F.explode("salts").alias("salt"))
     return alone.unionByName(members.join(ids, ["root", "salt"]).select(F.col("fp").alias("_fp"), "root", "component_id"))
 
 
