@@ -4,7 +4,7 @@ Every source is an endless stream of its documents: pass 0 in a keyed order, the
 and so on. The source has a target of T words and a weight schedule w(t) over training time t in [0, 1] that is
 linear from ``start`` to ``end`` times its base weight. The schedule's integral, scaled to T at t = 1, is the
 cumulative token demand D(t); the copy whose first word is word c of the stream is trained at t = D^-1(c), which
-is a quadratic root. Rows are then range-sorted by that position.
+is a quadratic root. Rows are then range-sorted by that position; what the mix took of a document is read back from that order.
 
 The stream is cut at word T, so each source takes its target to the word: of the copy in which the cut falls
 only the words before it count.
@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborspark.llm.common import materialize, n_words, quoted, ranked
+from arborspark.llm.common import free_name, materialize, n_words, quoted, ranked
 
 #: Base weights, dealt to the sources in code-point order, null last.
 WEIGHTS = (3, 1, 2)
@@ -150,11 +150,6 @@ def mix(
     )
 
 
-def taken() -> Column:
-    """Words that the mix takes of a row, repeats counted."""
-    return F.aggregate("passes", F.lit(0).cast("long"), lambda total, p: total + p["words"])
-
-
 def _position(offset: Column, target: Column, rank: Column, schedules: Sequence[tuple[float, float]]) -> Column:
     """t with D(t) = offset, where D(t) = target * (a t + (b - a) t^2 / 2) / ((a + b) / 2)."""
     turn = (F.pmod(rank, F.lit(len(schedules))) + 1).cast("int")
@@ -165,6 +160,32 @@ def _position(offset: Column, target: Column, rank: Column, schedules: Sequence[
     return share * 2 / (a + F.sqrt(a * a + (b - a) * share * 2))
 
 
+def training_order(mixed: DataFrame, untaken: bool = False) -> DataFrame:
+    """The copies that the mix takes, one row each, sorted by range of position: the rows of ``mix`` with epoch, taken_words
+    and position in place of ``passes``. ``untaken`` adds the rows that it does not take, with nulls, after all others.
+    Columns of the input with these three names are replaced."""
+    own = {"passes", "epoch", "taken_words", "position"}
+    kept = [c for c in mixed.columns if c.lower() not in own]
+    copy = free_name("copy", kept)
+    copies = mixed.select(*[F.col(quoted(c)) for c in kept], (F.explode_outer if untaken else F.explode)("passes").alias(copy))
+    in_order = copies.orderBy(F.col(copy)["position"].asc_nulls_last(), "doc_id", "order_key")
+    return in_order.select(
+        *[F.col(quoted(c)) for c in kept],
+        F.col(copy)["pass"].alias("epoch"),
+        F.col(copy)["words"].alias("taken_words"),
+        F.col(copy)["position"].alias("position"),
+    )
+
+
+def digest(order: DataFrame) -> DataFrame:
+    """One row per row of the mix, from its training order with the untaken: ``taken`` (words of all its copies, 0 if none) and
+    ``position`` (of its first pass, null if none) beside its other columns, which together must tell rows apart."""
+    own = {"epoch", "taken_words", "position"}
+    kept = [F.col(quoted(c)) for c in order.columns if c.lower() not in own]
+    first = F.min(F.when(F.col("epoch") == 0, F.col("position")))
+    return order.groupBy(*kept).agg(F.coalesce(F.sum("taken_words"), F.lit(0).cast("long")).alias("taken"), first.alias("position"))
+
+
 def curriculum(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that the mix takes, one per copy, with epoch, taken_words and position, sorted by range of
     position: the training order. ``how`` goes to ``mix``. Columns of the input with these three names are replaced."""
@@ -172,8 +193,5 @@ def curriculum(docs: DataFrame, **how) -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in own]
     row = F.struct(*[F.col(quoted(c)) for c in kept])
     mixed = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key().alias("order_key"), row.alias("row")), **how)
-    copies = mixed.select("row", "doc_id", "order_key", F.explode("passes").alias("copy"))
-    in_order = copies.orderBy(F.col("copy.position"), "doc_id", "order_key")
-    return in_order.select(
-        *[F.col("row").getField(c).alias(c) for c in kept], F.col("copy.pass").alias("epoch"), F.col("copy.words").alias("taken_words"), F.col("copy.position").alias("position")
-    )
+    copies = training_order(mixed.select("row", "doc_id", "order_key", "passes"))
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in kept], "epoch", "taken_words", "position")

@@ -48,16 +48,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = materialize(mixing.sizes(table(spark, sf_dir, "documents")), "sizes")
-    mixed = mixing.mix(sized)
-    return mixed.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        mixing.taken().alias("taken"),
-        F.try_element_at("passes", F.lit(1))["position"].alias("position"),
-    )
+    sized = mixing.sizes(table(spark, sf_dir, "documents")).withColumn("row", F.monotonically_increasing_id())
+    mixed = mixing.mix(materialize(sized, "sizes")).select("row", "doc_id", "order_key", "size", "source_size", "target", "passes")
+    order = materialize(mixing.training_order(mixed, untaken=True), "order")
+    return mixing.digest(order).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -539,6 +539,29 @@ def test_mixing_takes_the_targets(spark, sf):
     assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
 
 
+def test_mixing_query_reads_the_training_order(spark, sf, monkeypatch):
+    orders = []
+    whole = mixing.training_order
+    monkeypatch.setattr(mixing, "training_order", lambda mixed, **how: orders.append(whole(mixed, **how)) or orders[-1].filter("NOT epoch <=> 1"))
+    rows = Q.op8_mixing(spark, sf).collect()
+    copies = [r for r in orders[0].collect() if r.epoch is not None]
+    assert [r.position for r in copies] == sorted(r.position for r in copies) and {r.epoch for r in copies} == {0, 1}
+    # one pass is withheld, so no more than the other can be in the result; rows that were not taken stay
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r.taken <= r.size for r in rows)
+    assert sum(r.taken for r in rows) == sum(r.taken_words for r in copies if r.epoch == 0)
+
+
+def test_mixing_digest(spark):
+    docs = docs_of(spark, [(1, "a b", "s"), (1, "a b", "s"), (None, None, "s"), (2, " ", None), (None, "x y z", None)])
+    sized = mixing.sizes(docs.coalesce(1)).withColumn("row", F.monotonically_increasing_id())
+    mixed = mixing.mix(sized, budget=2)  # every document twice
+    order = mixing.training_order(mixed, untaken=True)
+    assert [r.epoch is None for r in order.collect()] == [False] * 6 + [True] * 2 and mixing.training_order(mixed).count() == 6
+    rows = mixing.digest(order).orderBy("row").collect()
+    assert [(r.size, r.taken) for r in rows] == [(2, 4), (2, 4), (0, 0), (0, 0), (3, 6)]
+    assert [r.position is None for r in rows] == [r.taken == 0 for r in rows]
+
+
 def test_mixing_levels_agree(spark, sf):
     sized = mixing.sizes(spark.read.parquet(f"{sf}/documents.parquet"))
     whole = sorted(map(str, mixing.mix(sized).collect()))
