@@ -69,7 +69,11 @@ def targets(
     is taken anew from what is left, until no further source reaches its cap. Each turn is one sum over the table of
     sources; the sums are integers, so the level is the one that a closed form over sorted caps gives.
     """
-    per = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
+    return _filled(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")), weights, budget, max_epochs)
+
+
+def _filled(per: DataFrame, weights: Sequence[int], budget: float, max_epochs: int) -> DataFrame:
+    """``targets`` from source, n_docs, source_size."""
     per = ranked(per, F.col("source").asc_nulls_last())
     turns = F.array(*[F.lit(w) for w in weights])
     per = per.withColumn("weight", F.element_at(turns, (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int")).cast("long"))
@@ -118,22 +122,25 @@ def mix(
     ``passes``: for every copy that the mix takes its pass, words and position."""
     own = {"source_size", "target", "passes"}
     kept = [c for c in sized.columns if c.lower() not in own]
-    shares = materialize(targets(sized, weights, budget, max_epochs), "shares")
-    counted = shares.agg(F.sum("n_docs").alias("n"), F.count("*").alias("k")).first()
-    digits = min(32, max(1, math.ceil(math.log((counted.n or 0) / bucket_rows + 1, 16))))
+    digits = min(32, max(1, math.ceil(math.log(sized.count() / bucket_rows + 1, 16))))
     # one key without nulls for the window and the joins, so that rows are shuffled once for all of them; the caller's columns
     # travel as one struct, where no name of theirs can meet one of ours
     group = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))
     row = F.struct(*[F.col(quoted(c)) for c in kept])
-    keyed = sized.select(group.alias("_g"), F.col("order_key").alias("_key"), F.col("size").alias("_size"), F.substring("order_key", 1, digits).alias("_bucket"), row.alias("_row"))
-    sums = keyed.groupBy("_g", "_bucket").agg(F.sum("_size").alias("_in"))
-    starts = _starts(materialize(sums, "buckets"), digits, level_digits)
+    keyed = sized.select(group.alias("_g"), F.col("order_key").alias("_key"), F.col("size").alias("_size"), F.substring("order_key", 1, digits).alias("_bucket"), F.col("source").alias("_source"), row.alias("_row"))
+    # sources and buckets are summed in one reading, since sizes may be counted in texts
+    sums = keyed.groupBy("_g", "_bucket", "_source").agg(F.sum("_size").alias("_in"), F.count("*").alias("_n"))
+    sums = materialize(sums, "buckets")
+    starts = _starts(sums, digits, level_digits)
+    per = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("n_docs"), F.sum("_in").alias("source_size"))
+    shares = _filled(per, weights, budget, max_epochs)
+    n_sources = shares.count()
     inside = Window.partitionBy("_g", "_bucket").orderBy("_key", "_size")
     before = F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    rows = keyed.withColumn("_before", before).join(starts, ["_g", "_bucket"], "left")
+    rows = keyed.drop("_source").withColumn("_before", before).join(starts, ["_g", "_bucket"], "left")
     shares = shares.select(group.alias("_g"), F.col("rank").alias("_rank"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     # sources are broadcast only up to a counted size; beyond it the join shuffles
-    rows = rows.join(F.broadcast(shares) if counted.k <= MOST_BROADCAST else shares, "_g", "left")
+    rows = rows.join(F.broadcast(shares) if n_sources <= MOST_BROADCAST else shares, "_g", "left")
     want = F.round(F.col("_target")).cast("long")
 
     def one(k: int) -> Column:

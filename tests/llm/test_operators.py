@@ -562,6 +562,15 @@ def test_mixing_digest(spark):
     assert [r.position is None for r in rows] == [r.taken == 0 for r in rows]
 
 
+def test_mixing_counts_sizes_twice_at_most(spark, sf):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda n: seen.add(1) or n, "long")
+    sized = mixing.sizes(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows = mixing.mix(sized.withColumn("size", counted("size"))).collect()
+    assert rows and seen.value <= 2 * len(rows)  # for the sums of sources and buckets together, and for the rows
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(sized).collect()))
+
+
 def test_mixing_levels_agree(spark, sf):
     sized = mixing.sizes(spark.read.parquet(f"{sf}/documents.parquet"))
     whole = sorted(map(str, mixing.mix(sized).collect()))
