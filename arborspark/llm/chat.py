@@ -21,6 +21,7 @@ One conversation is one record: like one text it must fit in a row.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -175,8 +176,14 @@ def collect_turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-def format_chats(records: DataFrame, turns: Column, key: str = "conv_id") -> DataFrame:
-    """key, formatted (the whole text) and loss: for every turn the span behind its start mark that is trained on, null for all but
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """What ``make`` makes of a value that is computed once for each row and written to no row: a projection keeps twice the bytes of the
+    largest text that it writes, which several such steps in a task cannot spare for a long conversation."""
+    return F.transform(F.array(value), make)[0]
+
+
+def formatted_turns(turns: Column) -> Column:
+    """Struct of formatted (the whole text) and loss: for every turn the span behind its start mark that is trained on, null for all but
     assistant texts."""
     marked = F.transform(
         turns,
@@ -185,32 +192,72 @@ def format_chats(records: DataFrame, turns: Column, key: str = "conv_id") -> Dat
         ),
     )
 
+    def whole(t: Column) -> Column:
+        return F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n"))
+
     def span(t: Column) -> Column:
         start = F.length(t["role"]) + 1
         return F.when(t["own"], F.struct(start.alias("start"), (start + F.length(t["text"])).alias("end")))
 
-    whole = F.transform("marked", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n")))
-    return records.select(key, marked.alias("marked")).select(key, F.array_join(whole, "").alias("formatted"), F.transform("marked", span).alias("loss"))
+    return bound(marked, lambda m: F.struct(F.array_join(F.transform(m, whole), "").alias("formatted"), F.transform(m, span).alias("loss")))
+
 
+def format_chats(records: DataFrame, turns: Column, key: str = "conv_id") -> DataFrame:
+    """key, formatted and loss (``formatted_turns``)."""
+    return records.select(key, formatted_turns(turns).alias("chat")).select(key, "chat.formatted", "chat.loss")
 
-def _pieces(formatted: Column) -> Column:
+
+def pieces(formatted: Column) -> Column:
     """What stands behind each start mark."""
     return F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != "")
 
 
+def _turn(p: Column) -> tuple[Column, Column]:
+    """Role and text of a piece."""
+    cut = F.length(F.lit(END + "\n"))
+    role = F.substring_index(p, "\n", 1)
+    rest = F.substr(p, F.length(role) + 2, F.length(p) - F.length(role) - 1 - cut)
+    return unescape_role(role), unescape_text(rest)
+
+
+def _loss(parts: Column, loss: Column) -> Column:
+    own = F.zip_with(parts, loss, lambda p, s: F.when(s.isNotNull(), unescape_text(F.substr(p, s["start"] + 1, s["end"] - s["start"]))))
+    return F.array_join(own, "")
+
+
 def read_back(formatted: Column) -> Column:
     """Turns of a formatted text."""
-    cut = F.length(F.lit(END + "\n"))
 
     def turn(p: Column) -> Column:
-        role = F.substring_index(p, "\n", 1)
-        rest = F.substr(p, F.length(role) + 2, F.length(p) - F.length(role) - 1 - cut)
-        return F.struct(unescape_role(role).alias("role"), unescape_text(rest).alias("text"))
+        role, text = _turn(p)
+        return F.struct(role.alias("role"), text.alias("text"))
 
-    return F.transform(_pieces(formatted), turn)
+    return F.transform(pieces(formatted), turn)
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
     """All text under the loss mask, cut from the formatted text by the spans and unescaped."""
-    own = F.zip_with(_pieces(formatted), loss, lambda p, s: F.when(s.isNotNull(), unescape_text(F.substr(p, s["start"] + 1, s["end"] - s["start"]))))
-    return F.array_join(own, "")
+    return _loss(pieces(formatted), loss)
+
+
+def digests(chat: Column) -> Column:
+    """Struct of what is read back from a formatted text and its mask (``formatted_turns``): n_turns, turns_sha256 (of role, newline, text,
+    newline per turn), loss_chars, loss_sha256, formatted_chars."""
+
+    def said(p: Column) -> Column:
+        role, text = _turn(p)
+        return F.concat(role, F.lit("\n"), text, F.lit("\n"))
+
+    def own(text: Column) -> Column:
+        return F.struct(F.length(text).cast("long").alias("chars"), F.sha2(text, 256).alias("sha256"))
+
+    def of(c: Column, parts: Column, loss: Column) -> Column:
+        return F.struct(
+            F.size(parts).cast("long").alias("n_turns"),
+            F.sha2(F.array_join(F.transform(parts, said), ""), 256).alias("turns_sha256"),
+            loss["chars"].alias("loss_chars"),
+            loss["sha256"].alias("loss_sha256"),
+            F.length(c["formatted"]).cast("long").alias("formatted_chars"),
+        )
+
+    return bound(chat, lambda c: bound(pieces(c["formatted"]), lambda parts: bound(bound(_loss(parts, c["loss"]), own), lambda loss: of(c, parts, loss))))

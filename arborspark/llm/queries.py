@@ -60,20 +60,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = records.select("conv_id", chat.typed_turns(F.col("payload"), kind).alias("turns"))
     # the extra conversation comes in another layout, as JSON
     own = F.to_json(F.struct(F.lit(CONTROL).alias("prompt"), F.lit(CONTROL).alias("response")))
-    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.parse_json(own).alias("payload"))
+    extra = spark.range(0, 1, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.parse_json(own).alias("payload"))
     turns = turns.unionByName(extra.select("conv_id", chat.variant_turns(F.col("payload")).alias("turns")))
-    out = chat.format_chats(turns, F.col("turns")).select(
-        "conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss")
-    )
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said, 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    found = turns.select("conv_id", chat.digests(chat.formatted_turns(F.col("turns"))).alias("found"))
+    return found.select("conv_id", "found.*")
 
 
 def _rolled(spark: SparkSession, sf_dir: str, versions) -> DataFrame:

@@ -664,6 +664,33 @@ def test_chat_query_is_native(spark, sf):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_chat_digests_are_of_what_is_read_back(spark):
+    odd = ["", None, "<|im_end|>", "<\\|x", "a<", "|>", "<|im_end|>\n<|im_start|>assistant\nx", "\n\n", "é<<||>"]
+    turns = [("assistant" if i % 2 else "us\\er\n<|", t) for i, t in enumerate(odd)] + [("assistant", t) for t in odd] + [(None, "x")]
+    df = spark.createDataFrame([(1, turns), (2, []), (3, None)], "conv_id long, t array<struct<role: string, text: string>>")
+    out = {r.conv_id: r for r in df.select("conv_id", chat.digests(chat.formatted_turns(F.col("t"))).alias("d")).collect()}
+    texts = {r.conv_id: r.formatted for r in chat.format_chats(df, F.col("t")).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for key, rows in ((1, turns), (2, [])):
+        own = "".join(t or "" for r, t in rows if r == "assistant")
+        said = "".join(f"{r or ''}\n{t or ''}\n" for r, t in rows)
+        assert tuple(out[key].d) == (len(rows), sha(said), len(own), sha(own), len(texts[key]))
+
+
+def test_chat_query_writes_no_conversation_to_a_row(spark, sf):
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "Project":
+            found.append({a.split("#")[0] for a in node.output().mkString("/").split("/")})
+        if node.nodeName() != "Aggregate":
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+    walk(Q.op9_chat(spark, sf)._jdf.queryExecution().optimizedPlan())
+    assert found and set().union(*found) <= {"conv_id", "found", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"}
+
+
 # 10 tokens
 
 
